@@ -27,6 +27,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, num=85, den=100)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import stream_dedup
 
@@ -45,7 +51,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_sharding, op6_exact_dedup, op7_best_fit_packing, op10_top_k_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op10_top_k_search)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
