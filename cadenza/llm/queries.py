@@ -57,13 +57,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines dropped, and the digest of the text that stays."""
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "lines_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .knn import voronoi_top_k
 
     return voronoi_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op10_top_k_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op9_line_dedup, op10_top_k_search)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
