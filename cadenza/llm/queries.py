@@ -57,6 +57,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE))
 
 
+def op8_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four segmentations of each turn of ``conversations``, with a digest of the ids and whether they decode to the text."""
+    from .subword import decode_segmentations, sample_segmentations
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    cut = sample_segmentations(turns.select("conv_id", "turn", "text", F.col("text").alias("original")), model, 4, key_cols=["conv_id", "turn", "original"])
+    back = decode_segmentations(cut, model)
+    digest = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+    same = (F.col("decoded") == F.coalesce("original", F.lit(""))).alias("round_trip")
+    return back.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", digest, same)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines dropped, and the digest of the text that stays."""
     from .line_dedup import dedup_lines
@@ -71,7 +84,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op9_line_dedup, op10_top_k_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op8_subword_sampling, op9_line_dedup, op10_top_k_search)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
