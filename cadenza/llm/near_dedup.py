@@ -20,6 +20,8 @@ ROWS = 4
 MISS = 1e-6
 #: Members of a candidate bucket that are compared in one block.
 BLOCK = 2048
+#: Shingles by which 32-bit sets may be wrong.
+SLACK = 2
 _HASH_BITS, _VALUE_BITS, _MANTISSA = 54, 38, 10
 _DOCS = 1 << (64 - _HASH_BITS)
 
@@ -109,6 +111,11 @@ def _sketch(k: int, m: int):
     return run
 
 
+def _bucket(band: np.ndarray, number) -> np.ndarray:
+    """A bucket's key: a band's registers, mixed with its number."""
+    return mix(band + np.asarray(number).astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -116,8 +123,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         bands = offsets[1] // 8
-        key = mix(data.view(np.uint64) + np.tile(np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15), n)) if len(data) % 8 == 0 else None
-        yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], ["bucket", "id"])
+        key = _bucket(data.view(np.uint64), np.tile(np.arange(bands), n))
+        yield pa.record_batch([pa.array(key), batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))], ["bucket", "id"])
 
 
 def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -168,23 +175,54 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as 32-bit hashes."""
+    for batch in batches:
+        data, offsets = strings(batch.column(1))
+        edge = (offsets // 2).astype(np.int64)
+        half = (data.view(np.uint64) >> _U(_HASH_BITS - 32)).astype(np.uint32)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(edge), pa.py_buffer(half)]).cast(pa.binary())
+        yield pa.record_batch([batch.column(0), raw], ["id", "short"])
+
+
 def _rest(num: int, den: int):
-    """Pairs of different components within a bucket (or two blocks of one), for rows sorted by bucket."""
-
-    def pairs(group: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, step = len(group["id"]), max(1, 4_000_000 // (group["sketch"].shape[1] * max(1, len(group["id"]))))
-        for i in range(0, n, step):
-            rows = np.arange(i, min(n, i + step))
-            a, b = (x.ravel() for x in np.meshgrid(rows, np.arange(n), indexing="ij"))
-            # Each pair is met once: a block with itself by order, two blocks across.
-            own = group["lo"][a] == group["hi"][a]
-            ok = (group["comp"][a] != group["comp"][b]) & np.where(own, a < b, (group["block"][a] == group["lo"][a]) & (group["block"][b] == group["hi"][b]))
-            a, b = a[ok], b[ok]
-            for s in range(0, len(a), 50_000):
-                x, y = a[s : s + 50_000], b[s : s + 50_000]
-                fine = _likely(group["sketch"][x], group["sketch"][y], group["n"][x], group["n"][y], num, den)
-                ids = group["id"][x[fine]], group["id"][y[fine]]
-                yield pa.record_batch([pa.array(np.minimum(*ids)), pa.array(np.maximum(*ids))], ["a", "b"])
+    """Links across the components of a bucket (or of two blocks of one), for rows sorted by bucket.
+
+    A pair is looked at in the first band that it shares only.  Sets are compared by 32-bit hashes; a pair that is above the
+    threshold by ``SLACK`` shingles is a link (as many false matches are as unlikely as a 54-bit collision), one that is within
+    them is left to the full sets.  What a link joins here is not compared again, so links are fewer than rows.
+    """
+
+    def pairs(g: dict) -> Iterator[pa.RecordBatch]:
+        n, (names, root) = len(g["id"]), np.unique(g["comp"], return_inverse=True)
+        bands, own = g["sketch"].view(np.uint64), g["lo"][0] == g["hi"][0]
+        of_bucket = next((k for k in range(bands.shape[1]) if (bands[:, k] == bands[0, k]).all() and _bucket(bands[:1, k], k)[0] == g["bucket"][0]), 0)
+        every, found = np.arange(n), []
+        for i in range(n):
+            ok = root != root[i]
+            ok &= (every > i) if own else ((g["block"] == g["hi"]) & (g["block"][i] == g["lo"][i]))
+            j = np.flatnonzero(ok)
+            if len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == of_bucket]
+            if len(j):
+                j = j[_likely(g["sketch"][i], g["sketch"][j], g["n"][i], g["n"][j], num, den)]
+            if not len(j):
+                continue
+            sets = [g["short"][k] for k in j]
+            flat, mine = np.concatenate(sets), g["short"][i]
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            common = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
+            fits = lambda c: den * c >= num * (g["n"][i] + g["n"][j] - c)  # noqa: E731, B023
+            sure, open_ = fits(common - SLACK), fits(common + SLACK)
+            for k in j[sure]:
+                if root[k] != root[i]:
+                    found.append((g["id"][i], g["id"][k], True))
+                    root[root == root[k]] = root[i]
+            found += [(g["id"][i], g["id"][k], False) for k in j[open_ & ~sure] if root[k] != root[i]]
+        if found:
+            a, b, sure = (np.array(x) for x in zip(*found, strict=True))
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -192,11 +230,13 @@ def _rest(num: int, den: int):
         def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
             col = {c: table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "block", "id", "n", "comp")}
             sketch = np.frombuffer(strings(table.column("sketch"))[0].tobytes(), np.uint16).reshape(table.num_rows, -1)
+            data, offsets = strings(table.column("short"))
+            flat, offsets = np.frombuffer(data.tobytes(), np.uint32), offsets // 4
             key = np.stack([col["bucket"], col["lo"], col["hi"]])
             edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]])
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 if e - s > 1:
-                    yield from pairs({k: v[s:e] for k, v in col.items()} | {"sketch": sketch[s:e]})
+                    yield from pairs({k: v[s:e] for k, v in col.items()} | {"sketch": sketch[s:e], "short": [flat[offsets[r] : offsets[r + 1]] for r in range(s, e)]})
 
         for batch in batches:
             if not batch.num_rows:
@@ -222,9 +262,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. Each text becomes a HyperMinHash sketch; documents of equal sets (by size and a 128-bit digest) form a class.
     2. Four neighbouring registers make a band; classes that share a band's key are candidates.  In every such bucket
-       each class is held against the one of smallest id: collision-corrected estimate first, then the full sets.
+       each class is held against those of smallest and of largest id: collision-corrected estimate first, then the full sets.
     3. Components of the confirmed links.  In buckets that still hold several components, all pairs across components
-       are estimated, in blocks of bounded size, and the likely ones confirmed on full sets.  Components again.
+       are estimated, in blocks of bounded size, and the likely ones confirmed.  Components again.
 
     So no link is skipped because a bucket is large, and no pair within a component is compared.  The number of bands
     follows from the threshold: a pair at the threshold shares none with probability below ``MISS``, and the estimate turns
@@ -243,37 +283,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = materialize(source.mapInArrow(_sketch(shingle, m), "id bigint, n bigint, d1 bigint, d2 bigint, sketch binary"), "sketches")
     classes = materialize(rows.filter("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2", "sketch").agg(F.min("id").alias("id")), "classes")
     bucketed = classes.select("id", "sketch").mapInArrow(_bands, "bucket bigint, id bigint")
-    hubs = bucketed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other").select("bucket", "hub")
+    hubs = bucketed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other")
     # Rows of buckets with several classes: all that candidates can come from.
     shared = materialize(bucketed.join(hubs, "bucket"), "buckets")
     some = classes.select("id", "n", "sketch")
-    stars = shared.filter("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    wanted = shared.select("id").distinct()
+    sets = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id bigint, shingles binary"), "sets")
+    stars = shared.select("id", F.explode(F.array("hub", "other")).alias("hub")).filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     stars = stars.join(some.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").join(some.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    stars = materialize(stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star_filter(num, den), "a bigint, b bigint"), "stars")
+    stars = stars.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star_filter(num, den), "a bigint, b bigint")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialize(source.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), "id bigint, shingles binary"), "sets")
         left, right = sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), sets.withColumnsRenamed({"id": "b", "shingles": "sb"})
-        out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a bigint, b bigint"), "links")
-        discard(sets)
-        return out
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a bigint, b bigint"), "links")
 
     links = confirmed(stars)
     labels = connected_components(links)
     named = shared.join(labels, shared["id"] == labels["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_rows = named.join(mixed, "bucket").join(some, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    short = sets.mapInArrow(_short, "id bigint, short binary")
+    open_rows = named.join(mixed, "bucket").join(some, "id").join(short, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    open_rows = open_rows.select("bucket", "id", "n", "comp", "sketch", "block", facing)
-    open_rows = open_rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "comp", "sketch")
+    open_rows = open_rows.select("bucket", "id", "n", "comp", "sketch", "short", "block", facing)
+    open_rows = open_rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "comp", "sketch", "short")
     keys = ["bucket", "lo", "hi"]
     n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    more = open_rows.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "id").mapInArrow(_rest(num, den), "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(more, "rest")
+    more = materialize(open_rows.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "id").mapInArrow(_rest(num, den), "a bigint, b bigint, sure boolean"), "rest")
     if not more.isEmpty():
-        labels = connected_components(links.unionByName(confirmed(more)))
+        found = more.filter("sure").select("a", "b").unionByName(confirmed(more.filter("NOT sure").select("a", "b").distinct()))
+        labels = connected_components(links.unionByName(found))
     labels = materialize(labels, "labels")
+    discard(sets)
     grouped = classes.join(labels, classes["id"] == labels["node"], "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("id", "n", "d1", "d2").join(grouped.withColumnsRenamed({"n": "n_", "d1": "d1_", "d2": "d2_"}), (F.col("n") == F.col("n_")) & (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
