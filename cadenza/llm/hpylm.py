@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SPACE, END, START = 0x20, 0x0A, 0x00
 GRAIN = 4000
 #: Sweeps of the sampler over every part; predictions of the last ``KEPT`` are averaged.
 SWEEPS, KEPT = 6, 4
+#: Strength of every restaurant; discounts are estimated for each order from its sections of one and of two customers.
+THETA = 5.0
 _STEPS_EXACT = 48
 
 
@@ -127,8 +130,11 @@ def _survey(parts: int, block_bytes: int):
                     tallies["gram"].append(_distinct(grams(sym, offs), np.repeat(train[i:j], np.diff(offs))))
                     bodies.append(sym.tobytes())
                     lengths.append(np.diff(offs))
+                    for kind, own in list(tallies.items()):  # merged as they grow, to bound memory
+                        if len(own) > 1 and sum(len(k) for k, _ in own[1:]) > max(len(own[0][0]), 1 << 19):
+                            tallies[kind] = [_merge(own)]
             who = np.stack([np.concatenate(x).astype("<i8") for x in (ids, lengths, trains)])
-            yield _row(number, "text", 0, who.tobytes(), zlib.compress(b"".join(bodies), 1), b"")
+            yield _row(number, "text", 0, who.tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(bodies)), b"")
             bodies.clear()
             for kind, own_tallies in tallies.items():
                 key, count = _merge(own_tallies)
@@ -139,7 +145,7 @@ def _survey(parts: int, block_bytes: int):
                 for p in range(parts):
                     own = order[edge[p] : edge[p + 1]]
                     if len(own):
-                        yield _row(number, kind, p, b"", _pack_keys(key[own]), count[own].astype("<u4").tobytes())
+                        yield _row(number, kind, p, b"", _pack(key[own], "<u8"), _pack(count[own], "<u4"))
 
         for batch in batches:
             _, offsets = strings(batch.column(1))
@@ -155,14 +161,15 @@ def _survey(parts: int, block_bytes: int):
     return run
 
 
-def _pack_keys(key: np.ndarray) -> bytes:
-    """Sorted keys as differences, by bytes of equal weight, which compress well."""
-    step = np.diff(key, prepend=_U(0)).astype("<u8")
-    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _pack(numbers: np.ndarray, form: str) -> bytes:
+    """Numbers by bytes of equal weight, compressed: high bytes of sorted keys and of counts repeat."""
+    raw = np.ascontiguousarray(numbers.astype(form)).view(np.uint8).reshape(len(numbers), -1)
+    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
 
 
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+def _unpack(raw: bytes, form: str) -> np.ndarray:
+    size = np.dtype(form).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(form).ravel()
 
 
 class Restaurants:
@@ -181,7 +188,7 @@ class Restaurants:
         self.customers = np.zeros(len(context), np.int64)
         self.tables = np.zeros(len(context), np.int64)
         self.weight = np.zeros(len(context))
-        self.d, self.theta = 0.5, 1.0
+        self.d, self.theta = 0.5, THETA
 
     def set_customers(self, customers: np.ndarray) -> None:
         changed = customers != self.customers
@@ -315,8 +322,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     asked = survey.filter("kind <> 'text'").select("block", "kind", "part", "payload", "counts")
 
     def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        keys = [_unpack_keys(x) for x in pdf["payload"]]
-        return keys, *_tally(np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.int64))
+        keys = [_unpack(x, "<u8") for x in pdf["payload"]]
+        return keys, *_tally(np.concatenate(keys), np.concatenate([_unpack(x, "<u4") for x in pdf["counts"]]).astype(np.int64))
 
     def first_round(key, pdf: pd.DataFrame) -> pd.DataFrame:
         """For words: training tokens and distinct training words.  For grams: customers of one-byte contexts."""
@@ -336,8 +343,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
         asked_keys, keys, count = merged(pdf)
-        value = count.astype("<u4") if key[0] == "word" else np.round(np.minimum(-np.log10(sample_part(keys, count, p_one, seed=int(key[1]))[0]), 16) * GRAIN).astype("<u2")
-        return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "payload": pdf["payload"], "value": [value[np.searchsorted(keys, k)].tobytes() for k in asked_keys]})
+        if key[0] == "word":
+            value, form = count, "<u4"
+        else:
+            value, form = np.round(np.minimum(-np.log10(sample_part(keys, count, p_one, seed=int(key[1]))[0]), 16) * GRAIN), "<u2"
+        return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "payload": pdf["payload"], "value": [_pack(value[np.searchsorted(keys, k)], form) for k in asked_keys]})
 
     answers = asked.groupBy("kind", "part").applyInPandas(answer, "block bigint, kind string, payload binary, value binary")
     texts = survey.filter("kind = 'text'").select("block", "ids", "payload")
@@ -347,12 +357,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         index, value = {}, {}
         for kind, form in (("word", "<u4"), ("gram", "<u2")):
             own = right[right["kind"] == kind]
-            index[kind] = HashIndex(np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(x) for x in own["payload"])]))
-            value[kind] = np.concatenate([np.zeros(0, form), *(np.frombuffer(x, form) for x in own["value"])])
+            index[kind] = HashIndex(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, "<u8") for x in own["payload"])]))
+            value[kind] = np.concatenate([np.zeros(0, form), *(_unpack(x, form) for x in own["value"])])
         frames = []
         for who, payload in zip(left["ids"], left["payload"], strict=True):
             ids, lens, train = np.frombuffer(who, "<i8").reshape(3, -1)
-            sym, all_offs = np.frombuffer(zlib.decompress(payload), np.uint8), np.concatenate([[0], np.cumsum(lens)])
+            sym, all_offs = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8), np.concatenate([[0], np.cumsum(lens)])
             for i, j in chunks(all_offs, 2 << 20):
                 n, s, offs = j - i, sym[all_offs[i] : all_offs[j]], all_offs[i : j + 1] - all_offs[i]
                 score = -np.add.reduceat(value["gram"][index["gram"].find(grams(s, offs))], offs[:-1], dtype=np.int64) / GRAIN

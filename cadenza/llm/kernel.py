@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 3)
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
