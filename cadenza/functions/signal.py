@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructType
 
 RATE = 16_000
+# Types are objects, not text: workers import this module, and only a driver can parse.
+SAMPLES = ArrayType(FloatType())
+RECOGNISED = StructType().add("text", StringType()).add("status", StringType()).add("error", StringType()).add("elapsed", DoubleType())
 
 
 def _each(f, *series: pd.Series) -> pd.Series:
@@ -33,12 +37,12 @@ def _mr_stft(a: np.ndarray, b: np.ndarray) -> float:
     return float(total / 3)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def multi_resolution_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(_mr_stft, a, b)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def best_lag(target: pd.Series, other: pd.Series, wanted: pd.Series) -> pd.Series:
     """The shift of ``other`` at which the share of target activity that it overlaps is nearest to ``wanted``; the smallest
     such shift.  All shifts at once, by FFT cross-correlation."""
@@ -51,7 +55,7 @@ def best_lag(target: pd.Series, other: pd.Series, wanted: pd.Series) -> pd.Serie
     return _each(one, target, other, wanted).astype("Int32")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def convolve_room(x: pd.Series, rir: pd.Series) -> pd.Series:
     """Convolution with a room response scaled to unit energy, from its peak on, cut to the input's length."""
 
@@ -64,7 +68,7 @@ def convolve_room(x: pd.Series, rir: pd.Series) -> pd.Series:
     return _each(one, x, rir)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def resample(x: pd.Series, rate: pd.Series) -> pd.Series:
     """Linear interpolation to 16 kHz."""
 
@@ -75,7 +79,7 @@ def resample(x: pd.Series, rate: pd.Series) -> pd.Series:
     return _each(one, x, rate)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def denoise(x: pd.Series) -> pd.Series:
     """Spectral subtraction of the 10th percentile of each frequency, with a floor of a tenth, by overlap-add."""
 
@@ -96,7 +100,7 @@ def denoise(x: pd.Series) -> pd.Series:
     return _each(one, x)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(SAMPLES)
 def keep_windows(x: pd.Series, scores: pd.Series, keep: pd.Series, floor: pd.Series) -> pd.Series:
     """Soft mask from windows of 1.6 s every 0.8 s (the last one at the end): windows whose score is at least ``keep`` count 1,
     others ``floor``; overlapping windows average under a triangular weight."""
@@ -120,7 +124,7 @@ def keep_windows(x: pd.Series, scores: pd.Series, keep: pd.Series, floor: pd.Ser
 def overlap_add(model, chunk: int, hop: int):
     """An Arrow UDF that applies ``model`` (array of ``chunk`` samples to the same) to long inputs piece by piece."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(SAMPLES)
     def run(x: pd.Series) -> pd.Series:
         def one(a: np.ndarray) -> np.ndarray:
             fade = np.bartlett(chunk + 2)[1:-1]
@@ -142,7 +146,7 @@ def recogniser(call):
     """An Arrow UDF around ``call(key) -> text``: struct (text, status, error, elapsed); a failure is a row, not a crash."""
     import time
 
-    @F.pandas_udf("text string, status string, error string, elapsed double")
+    @F.pandas_udf(RECOGNISED)
     def run(keys: pd.Series) -> pd.DataFrame:
         rows = []
         for k in keys:
