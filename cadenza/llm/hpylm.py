@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .kernel import _U, LOWER, HashIndex, chunks, mix, strings, words
+from .kernel import _U, LOWER, HashIndex, bound_batches, chunks, mix, strings, words
 from .language import held_out
 
 ORDER = 6
@@ -113,32 +113,32 @@ def _survey(parts: int, block_bytes: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        held: list[pa.RecordBatch] = []
-        size = 0
+        size, tallies = 0, {}
+        bodies, lengths, ids, trains = [], [], [], []
+
+        def take(batch: pa.RecordBatch) -> None:
+            data, offsets = strings(batch.column(1))
+            train = ~batch.column(2).to_numpy(zero_copy_only=False)
+            ids.append(batch.column(0).to_numpy())
+            trains.append(train)
+            for i, j in chunks(offsets):
+                sym, offs, h, doc = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                bodies.append(sym.tobytes())
+                lengths.append(np.diff(offs))
+                tallies.setdefault("word", []).append(_distinct(h, train[i:j][doc]))
+                tallies.setdefault("gram", []).append(_distinct(grams(sym, offs), np.repeat(train[i:j], np.diff(offs))))
+                for kind, own in tallies.items():  # merged as they grow, to bound memory
+                    if len(own) > 1 and sum(len(k) for k, _ in own[1:]) > max(len(own[0][0]), 1 << 19):
+                        tallies[kind] = [_merge(own)]
 
         def block() -> Iterator[pa.RecordBatch]:
-            tallies: dict[str, list] = {"word": [], "gram": []}
-            bodies, lengths, ids, trains = [], [], [], []
-            for batch in held:
-                data, offsets = strings(batch.column(1))
-                train = ~batch.column(2).to_numpy(zero_copy_only=False)
-                ids.append(batch.column(0).to_numpy())
-                trains.append(train)
-                for i, j in chunks(offsets):
-                    sym, offs, h, doc = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    tallies["word"].append(_distinct(h, train[i:j][doc]))
-                    tallies["gram"].append(_distinct(grams(sym, offs), np.repeat(train[i:j], np.diff(offs))))
-                    bodies.append(sym.tobytes())
-                    lengths.append(np.diff(offs))
-                    for kind, own in list(tallies.items()):  # merged as they grow, to bound memory
-                        if len(own) > 1 and sum(len(k) for k, _ in own[1:]) > max(len(own[0][0]), 1 << 19):
-                            tallies[kind] = [_merge(own)]
             who = np.stack([np.concatenate(x).astype("<i8") for x in (ids, lengths, trains)])
-            yield _row(number, "text", 0, who.tobytes(), zstandard.ZstdCompressor(level=3).compress(b"".join(bodies)), b"")
-            bodies.clear()
-            for kind, own_tallies in tallies.items():
-                key, count = _merge(own_tallies)
-                own_tallies.clear()
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
+            for x in (bodies, lengths, ids, trains):
+                x.clear()
+            yield _row(number, "text", 0, who.tobytes(), text, b"")
+            for kind in ("word", "gram"):
+                key, count = _merge(tallies.pop(kind))
                 part = _part_of(key, parts) if kind == "gram" else (key % _U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edge = np.searchsorted(part[order], np.arange(parts + 1))
@@ -150,12 +150,13 @@ def _survey(parts: int, block_bytes: int):
         for batch in batches:
             _, offsets = strings(batch.column(1))
             for i, j in chunks(offsets, block_bytes):
-                held.append(batch.slice(i, j - i))
+                # Whole documents, so that a block ends at the first that fills it.
+                take(batch.slice(i, j - i))
                 size += int(offsets[j] - offsets[i])
                 if size >= block_bytes:
                     yield from block()
-                    held, size, number = [], 0, number + 1
-        if held:
+                    size, number = 0, number + 1
+        if ids:
             yield from block()
 
     return run
@@ -314,6 +315,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     result = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     no_id = -(2**63)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.col(text_col).alias("body"), held_out(id_col, folds).alias("out"))

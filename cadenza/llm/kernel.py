@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 3)
@@ -24,6 +25,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Rows in an Arrow batch at most, where rows are whole texts.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger: a batch of texts is held on both sides of the
+    pipe to a worker.  It stays lowered, as plans read it when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> _U(32))
@@ -111,7 +124,7 @@ class HashIndex:
         """Keys that are not in it yet; they get the next positions."""
         base, self.keys = len(self.keys), np.concatenate([self.keys, keys])
         if base == 0 or 2 * len(self.keys) > self.mask + 1:
-            bits = max(4, int(np.ceil(np.log2(max(len(self.keys), 1) * 3))))
+            bits = max(4, int(np.ceil(np.log2(max(len(self.keys), 1) * 2 + 2))))
             self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
             self.slot_key = np.zeros(1 << bits, np.uint64)
             self.slot_at = np.full(1 << bits, -1, np.int32)

@@ -15,7 +15,7 @@ from ..workspace import materialize
 
 #: Pivots at most; their distances to each other and k + 1 distances for each are all that the driver holds.
 MAX_PIVOTS = 512
-QUERIES_PER_PIVOT = 128
+QUERIES_PER_PIVOT = 512
 #: Rows of a local problem.
 QUERY_BLOCK, DATA_BLOCK = 2048, 16384
 
@@ -95,7 +95,7 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
     if not facts["n"] or not facts["nq"] or not facts["dim"]:
         return spark.createDataFrame([], schema)
     dim, reach, exact = facts["dim"], float(facts["m"]), facts["dim"] * float(facts["top"] or 0) ** 2 < 2**53
-    n_pivots = min(MAX_PIVOTS, max(4, -(-facts["nq"] // QUERIES_PER_PIVOT)))
+    n_pivots = min(MAX_PIVOTS, max(8, -(-facts["nq"] // QUERIES_PER_PIVOT)))
     picked = base.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
     pivots = np.zeros((len(picked), dim))
     for i, row in enumerate(picked):

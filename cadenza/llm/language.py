@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import chunks, strings
+from .kernel import bound_batches, chunks, strings
 
 #: Labelled rows of each language that the driver gets at most, and bytes of each.
 ROWS_PER_LABEL, SAMPLE_BYTES = 600, 512
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, net: ByteConvNet, keys: list[Column], *, text_col:
     by up to four windows' evidence.  ``und`` with score 0 for a null text or one without a letter.  Rows keep their own
     result each, repeated ones too; an empty table gives an empty result.  No shuffle.
     """
+    bound_batches(docs.sparkSession)
     frame = docs.select(*keys, F.col(text_col).alias("text_to_identify"))
     kinds = [(f.name, f.dataType.simpleString()) for f in frame.schema.fields[:-1]]
     named = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(kinds))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import discard, materialize
 from .components import connected_components
-from .kernel import _U, mix, strings, words
+from .kernel import _U, CHUNK, bound_batches, mix, strings, words
 
 #: Registers in a band: four registers of 16 bits fill a 64-bit key.
 ROWS = 4
@@ -31,7 +31,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tupl
     (counted from first).  A document of fewer words has its whole word sequence as its only shingle."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = min(n, i + _DOCS - 1, max(i + 1, int(np.searchsorted(offsets, offsets[i] + (4 << 20), "right")) - 1))
+        j = min(n, i + _DOCS - 1, max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1))
         h, doc, _, _ = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         count = np.bincount(doc, minlength=j - i)
         last = np.cumsum(count)
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Returns id, n_shingles, component_id (smallest id reachable), kept (id = component_id).
     """
+    bound_batches(docs.sparkSession)
     t = num / den
     bands = max(8, math.ceil(math.log(MISS) / math.log(1 - t**ROWS)))
     m = bands * ROWS

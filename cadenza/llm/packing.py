@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .kernel import chunks, strings
+from .kernel import bound_batches, chunks, strings
 
 #: Pieces dealt to one packing task; only the last bins of a task can stay half empty.
 PIECES_PER_TASK = 60_000
@@ -132,6 +132,7 @@ def _pack(capacity: int, open_bins: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Ids of each text plus ``end_id``, cut into pieces of ``capacity`` (only the first may be shorter), as lengths and
     CRC-32 of the ids (little-endian 32-bit)."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).mapInArrow(_tokenise(tokenizer_path, capacity, end_id), _PIECE)
 
 
