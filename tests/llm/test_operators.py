@@ -412,6 +412,26 @@ def test_lines(spark, docs, odd, empty):
     assert L.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_ordinary_length_with_words_replaced(spark):
+    from cadenza.llm import line_dedup as L
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    lines = []
+    for n in (8, 10, 20, 30, 50) * 12:
+        line = [word() for _ in range(n)]
+        lines.append(" ".join(line))
+        for share in (0.05, 0.1, 0.15):
+            near = list(line)
+            for i in rng.sample(range(n), max(1, int(n * share))):
+                near[i] = word()
+            lines.append(" ".join(near))
+    links = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if L.similar(lines[i], lines[j])]
+    gone = {i for i, r in components(range(len(lines)), links).items() if i != r}
+    got = L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
+    assert len(gone) > 150 and {r.doc_id for r in got if r.lines_dropped} == gone
+
+
 def test_edit_distance():
     from cadenza.llm.line_dedup import edit_distance
 
