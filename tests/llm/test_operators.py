@@ -485,3 +485,12 @@ def test_pipeline(spark):
     packed = P.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").collect()}
     assert 0.5 * docs.count() < now.count() < docs.count()
+
+
+def test_pipeline_letter_rule_without_labels(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, "plain words", None, "s", 11), (2, "123 --- 456", None, "s", 11), (3, "", None, "s", 0), (4, None, None, "s", 0), (5, "\u4e2d", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.identify_language(spark, docs, SF)
+    assert out.columns == P.COLUMNS and {r.doc_id for r in out.collect()} == {1, 5}
