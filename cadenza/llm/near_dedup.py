@@ -20,7 +20,7 @@ ROWS = 4
 MISS = 1e-6
 #: Members of a candidate bucket that are compared in one block.
 BLOCK = 2048
-#: Shingles by which 32-bit sets may be wrong.
+#: Shingles by which 32-bit sets may be wrong, besides what their sizes let expect (see ``_slack``).
 SLACK = 2
 _HASH_BITS, _VALUE_BITS, _MANTISSA = 54, 38, 10
 _DOCS = 1 << (64 - _HASH_BITS)
@@ -185,12 +185,18 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), raw], ["id", "short"])
 
 
+def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles by which sets of these sizes may be wrong: false matches expected, and eight standard deviations."""
+    expected = np.asarray(a, np.float64) * b / 2**32
+    return SLACK + np.ceil(expected + 8 * np.sqrt(expected)).astype(np.int64)
+
+
 def _rest(num: int, den: int):
     """Links across the components of a bucket (or of two blocks of one), for rows sorted by bucket.
 
     A pair is looked at in the first band that it shares only.  Sets are compared by 32-bit hashes; a pair that is above the
-    threshold by ``SLACK`` shingles is a link (as many false matches are as unlikely as a 54-bit collision), one that is within
-    them is left to the full sets.  What a link joins here is not compared again, so links are fewer than rows.
+    threshold by ``_slack`` shingles, which grows with the sizes, is a link (as many false matches are as unlikely as a 54-bit
+    collision), one that is within them is left to the full sets.  What a link joins here is not compared again, so links are fewer than rows.
     """
 
     def pairs(g: dict) -> Iterator[pa.RecordBatch]:
@@ -214,7 +220,7 @@ def _rest(num: int, den: int):
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             common = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
             fits = lambda c: den * c >= num * (g["n"][i] + g["n"][j] - c)  # noqa: E731, B023
-            sure, open_ = fits(common - SLACK), fits(common + SLACK)
+            sure, open_ = fits(common - _slack(g["n"][i], g["n"][j])), fits(common + SLACK)
             for k in j[sure]:
                 if root[k] != root[i]:
                     found.append((g["id"][i], g["id"][k], True))

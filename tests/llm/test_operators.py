@@ -494,3 +494,21 @@ def test_pipeline_letter_rule_without_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = P.identify_language(spark, docs, SF)
     assert out.columns == P.COLUMNS and {r.doc_id for r in out.collect()} == {1, 5}
+
+
+def test_long_sets_just_below_the_threshold_are_left_to_full_sets():
+    from cadenza.llm import near_dedup as N
+
+    rng = np.random.default_rng(4)
+    n, common = 1_000_000, 888_880  # 888,889 shared shingles reach 0.8
+    every = np.unique(rng.integers(0, 1 << 54, 2 * n - common + 1000, dtype=np.uint64))
+    every = rng.permutation(every)[: 2 * n - common]
+    sets = [np.sort(every[:n]), np.sort(every[n - common :])]
+    full = pa.record_batch([pa.array([1, 2]), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "shingles"])
+    short = next(N._short(iter([full]))).column(1)
+    sketch = np.arange(64, dtype=np.uint16)
+    bucket = int(N._bucket(sketch.view(np.uint64)[:1], 0)[0])
+    col = {"bucket": [bucket] * 2, "lo": [0, 0], "hi": [0, 0], "block": [0, 0], "id": [1, 2], "n": [n, n], "comp": [1, 2]}
+    rows = pa.record_batch([*(pa.array(v, pa.int64()) for v in col.values()), pa.array([sketch.tobytes()] * 2, pa.binary()), short], [*col, "sketch", "short"])
+    found = [r for b in N._rest(80, 100)(iter([rows])) for r in b.to_pylist()]
+    assert found == [{"a": 1, "b": 2, "sure": False}]
