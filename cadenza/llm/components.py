@@ -40,6 +40,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def facing_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Deal the members (bucket, node, comp) of each bucket that holds several components to pairs of blocks (lo <= hi), so
+    that any two of different components meet in one: (bucket, lo, hi, block, node, comp).
+
+    Members of a bucket's largest component need not meet each other.  So they get blocks of their own, which face only those
+    of the other members: a bucket of one huge component and a few strays moves its rows once for each block of strays.
+    """
+    counted = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    most = counted.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("n_comps"))
+    strays, mains = F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int"), F.ceil(F.col("n_main") / block).cast("int")
+    most = most.filter("n_comps > 1").select("bucket", "main", strays.alias("strays"), mains.alias("mains"))
+    is_main = F.col("comp") == F.col("main")
+    h = F.xxhash64("node")
+    own = F.when(is_main, F.col("strays") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("strays"))).cast("int")
+    rows = members.join(most, "bucket").withColumn("block", own)
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("strays") - 1).otherwise(F.col("strays") + F.col("mains") - 1))
+    rows = rows.select("bucket", "node", "comp", "block", F.explode(others).alias("other"))
+    return rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
+
+
 def _mark(edges: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
     return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND((1 << 31) - 1)), F.sum(F.shiftrightunsigned(h, 33))).first())

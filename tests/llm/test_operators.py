@@ -377,79 +377,152 @@ def test_subwords(spark, odd, empty):
     assert sample_segmentations(empty, PIECES, key_cols=["doc_id"]).count() == 0
 
 
+def eligible(L, x):
+    y = L.normalise(x).encode()
+    return len(y.split()) >= L.MIN_WORDS or len(y) >= L.MIN_BYTES
+
+
+def brute_lines(L, rows):
+    """Lines (id, number) that repeat an earlier one exactly, and all that go if every near-equal pair is found."""
+    first, twin = {}, set()
+    for i, t in sorted(rows):
+        for k, x in enumerate((t or "").split("\n")):
+            y = L.normalise(x)
+            if y and first.setdefault(y, (i, k)) != (i, k):
+                twin.add((i, k))
+    order = sorted((y for y in first if eligible(L, y)), key=len)
+    links = []
+    for i, x in enumerate(order):
+        near = [y for y in order[i + 1 :] if 5 * len(x) >= 4 * len(y)]
+        links += [(first[x], first[y]) for y, ok in zip(near, L.similar([x] * len(near), near), strict=True) if ok] if near else []
+    of = components(first.values(), links)
+    return twin, twin | {at for at, root in of.items() if at != root}, links
+
+
+def cut(rows, gone):
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
 def test_lines(spark, docs, odd, empty):
     from cadenza.llm import line_dedup as L
-    from cadenza.llm.kernel import strings
 
     rng = random.Random(5)
-    line = " ".join(f"w{rng.randint(0, 999)}" for _ in range(60))
+    line = " ".join(f"w{rng.randint(0, 999)}x{rng.randint(0, 9)}" for _ in range(60))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     for i in range(80):
         near = line.split(" ")
         near[rng.randrange(60)] = "zz"
-        rows.append((9000 + i, "short\n" + " ".join(near) + "\n| a | b | c | d | e |\n" + line))
-    rows.sort()
-    first, order = {}, []
-    for i, t in rows:
-        for k, x in enumerate(t.split("\n")):
-            y = L.normalise(x)
-            if len(y.encode().split()) >= L.MIN_WORDS and y not in first:
-                first[y] = (i, k)
-                order.append(y)
-    data, offsets = strings(pa.array(order))
-    sim = L.fingerprints(data, offsets)[2]
-    links = [(i, int(j)) for i in range(len(order)) for j in np.flatnonzero(np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= L.BITS) + i + 1 if L.similar(order[i], order[int(j)])]
-    keep = {first[order[i]] for i, r in components(range(len(order)), links).items() if i == r}
+        rows.append((9000 + i, "yes  SIR\n\n" + " ".join(near) + "\n| a | b | c | d | e |\n" + line))
+    twin, every, links = brute_lines(L, rows)
     got = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert links
+    assert len(links) > 900 and {(9000 + i, k) for i in range(1, 80) for k in (0, 3, 4)} <= twin
+    want = cut(rows, every)
+    assert {i: got[i].text for i, _ in rows} == want
     for i, t in rows:
-        lines = t.split("\n")
-        left = [x for k, x in enumerate(lines) if len(L.normalise(x).encode().split()) < L.MIN_WORDS or (i, k) in keep]
-        assert (got[i].text, got[i].n_lines, got[i].lines_dropped) == ("\n".join(left), len(lines), len(lines) - len(left))
-    out = L.dedup_lines(odd.withColumn("n_lines", F.lit("x")))
+        assert got[i].n_lines == t.count("\n") + 1 and got[i].lines_dropped == sum((i, k) in every for k in range(got[i].n_lines))
+    clash = odd.withColumn("n_lines", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("_mark", F.lit(2)).withColumn("gone", F.lit(3)).withColumn("row", F.lit(4))
+    out = L.dedup_lines(clash)
     by = {r.doc_id: r for r in out.collect()}
-    assert out.count() == len(ODD) and by[1].text is None and by[2].text == "" and by[9].lines_dropped == 0 and set(odd.columns) < set(out.columns)
+    assert out.count() == len(ODD) and by[1].text is None and by[2].text == "" and by[9].lines_dropped == 0 and set(clash.columns) < set(out.columns)
+    assert by[6].text == ODD[7][1] and by[7].lines_dropped == 2 and by[7].text == "" and by[7].gone == 3
     assert L.dedup_lines(empty).count() == 0
 
 
-def test_lines_of_ordinary_length_with_words_replaced(spark):
+def changed(rng, kind, line):
+    """A near copy of a line, given as words, by kind of change."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    line = list(line)
+    if kind == "letter":
+        i = rng.randrange(len(line))
+        k = rng.randrange(len(line[i]))
+        line[i] = line[i][:k] + "q" + line[i][k + 1 :]
+        return " ".join(line)
+    for i in rng.sample(range(len(line)), max(1, int(len(line) * {"word": 0, "tenth": 0.1, "fifth": 0.2}[kind]))):
+        line[i] = word()
+    return " ".join(line)
+
+
+def test_recall_of_near_lines(spark):
+    """Short and long lines against all pairs by edit similarity alone."""
     from cadenza.llm import line_dedup as L
 
     rng = random.Random(8)
+    vocabulary = ["".join(rng.choices(["er", "en", "ch", "lo", "mi", "s", "t", "ring", "tion", "a", "o"], k=rng.randint(1, 4))) for _ in range(800)]
+    rows, kinds = [], {}
+    for n in (5, 6, 10, 15, 25, 60, 100):
+        for kind in ("letter", "word", "tenth", "fifth"):
+            for _ in range(40):
+                line = rng.choices(vocabulary, k=n)
+                kinds[len(rows) + 1] = kind
+                rows += [(len(rows), " ".join(line)), (len(rows) + 1, changed(rng, kind, line))]
+    rows += [(len(rows) + k, "\u6c49\u5b57\u8a9e\u6587" * 12 + "\u4e00\u4e8c\u4e09"[k]) for k in range(3)]
+    twin, every, _ = brute_lines(L, rows)
+    got = {r.doc_id for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.lines_dropped}
+    want = {i for i, _ in every}
+    assert got <= want and {i for i, _ in twin} <= got and {rows[-1][0], rows[-2][0]} <= got
+    for kind in set(kinds.values()):
+        own = {i for i in want if kinds.get(i) == kind}
+        assert len(own) > 100 and len(own & got) >= 0.9 * len(own), kind
+
+
+def test_large_groups_of_lines(spark, monkeypatch):
+    """Buckets in blocks, cut by fields, and components joined across blocks, as on much larger tables."""
+    from cadenza.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "SMALL", 4)
+    monkeypatch.setattr(L, "BLOCK", 8)
+    rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
-    lines = []
-    for n in (8, 10, 20, 30, 50) * 12:
-        line = [word() for _ in range(n)]
-        lines.append(" ".join(line))
-        for share in (0.05, 0.1, 0.15):
-            near = list(line)
-            for i in rng.sample(range(n), max(1, int(n * share))):
-                near[i] = word()
-            lines.append(" ".join(near))
-    links = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if L.similar(lines[i], lines[j])]
-    gone = {i for i, r in components(range(len(lines)), links).items() if i != r}
-    got = L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
-    assert len(gone) > 150 and {r.doc_id for r in got if r.lines_dropped} == gone
-
-
-def test_edit_distance():
-    from cadenza.llm.line_dedup import edit_distance
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            best = [i]
-            for j, y in enumerate(b, 1):
-                best.append(min(row[j] + 1, best[-1] + 1, row[j - 1] + (x != y)))
-            row = best
-        return row[-1]
+    frame = " ".join(word() for _ in range(6))
+    rows = []
+    for g in range(6):
+        base = [word() for _ in range(14)]
+        for _ in range(20):
+            line = list(base)
+            line[rng.randrange(14)] = word()
+            rows.append((len(rows), frame + " " + " ".join(line)))
+    rng.shuffle(rows)
+    _, every, _ = brute_lines(L, rows)
+    got = {r.doc_id for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect() if r.lines_dropped}
+    assert got == {i for i, _ in every}
+
+
+def test_normalised_lines():
+    from cadenza.llm import line_dedup as L
+    from cadenza.llm.kernel import strings
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aB 9\t\n\u00e9\x0b\u3000", k=rng.randint(0, 40))) for _ in range(400)]
+    data, offsets = strings(pa.array(texts))
+    text, edge = L.normalised(data, L.line_offsets(data, offsets)[0])
+    assert [text[a:b].tobytes().decode() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [L.normalise(x) for t in texts for x in t.split("\n")]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        best = [i]
+        for j, y in enumerate(b, 1):
+            best.append(min(row[j] + 1, best[-1] + 1, row[j - 1] + (x != y)))
+        row = best
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_edit_distance(monkeypatch, few):
+    from cadenza.llm import edits as E
 
+    monkeypatch.setattr(E, "FEW", few)
     rng = random.Random(6)
-    for _ in range(1500):
-        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(2))
-        most, d = rng.randint(0, 12), plain(a, b)
-        got = edit_distance(a, b, most)
-        assert got == d if d <= most else got > most
+    left, right, most, want = [], [], [], []
+    for n in [12] * 800 + [200] * 60:
+        a = "".join(rng.choices("ab\u00e9\u65e5 ", k=rng.randint(0, n)))
+        b = "".join(c for c in a if rng.random() > 0.1) if rng.random() < 0.5 else "".join(rng.choices("ab\u00e9", k=rng.randint(0, n)))
+        d = plain_distance(a, b)
+        limit = max(0, d + rng.randint(-2, 2))
+        assert E.edit_distance(a, b, d) == d and (not d or E.edit_distance(a, b, d - 1) == d)
+        left.append(a), right.append(b), most.append(limit), want.append(d <= limit)
+    assert E.within(left, right, most).tolist() == want
 
 
 def test_top_k(spark, monkeypatch):
