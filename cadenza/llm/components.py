@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def facing_blocks(members: DataFrame, block: int) -> DataFrame:
     """Deal the members (bucket, node, comp) of each bucket that holds several components to pairs of blocks (lo <= hi), so
-    that any two of different components meet in one: (bucket, lo, hi, block, node, comp).
+    that any two of different components meet in one: (bucket, lo, hi, block) and the other columns.
 
     Members of a bucket's largest component need not meet each other.  So they get blocks of their own, which face only those
     of the other members: a bucket of one huge component and a few strays moves its rows once for each block of strays.
@@ -56,8 +56,9 @@ def facing_blocks(members: DataFrame, block: int) -> DataFrame:
     own = F.when(is_main, F.col("strays") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("strays"))).cast("int")
     rows = members.join(most, "bucket").withColumn("block", own)
     others = F.sequence(F.lit(0), F.when(is_main, F.col("strays") - 1).otherwise(F.col("strays") + F.col("mains") - 1))
-    rows = rows.select("bucket", "node", "comp", "block", F.explode(others).alias("other"))
-    return rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
+    kept = [c for c in members.columns if c != "bucket"]
+    rows = rows.select("bucket", *kept, "block", F.explode(others).alias("other"))
+    return rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *kept)
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -469,7 +469,7 @@ def test_large_groups_of_lines(spark, monkeypatch):
     """Buckets in blocks, cut by fields, and components joined across blocks, as on much larger tables."""
     from cadenza.llm import line_dedup as L
 
-    monkeypatch.setattr(L, "SMALL", 4)
+    monkeypatch.setattr(L, "PAIRS", 2)
     monkeypatch.setattr(L, "BLOCK", 8)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
