@@ -59,15 +59,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_subword_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four segmentations of each turn of ``conversations``, with a digest of the ids and whether they decode to the text."""
-    from .subword import decode_segmentations, sample_segmentations
+    from .subword import summarise_segmentations
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    cut = sample_segmentations(turns.select("conv_id", "turn", "text", F.col("text").alias("original")), model, 4, key_cols=["conv_id", "turn", "original"])
-    back = decode_segmentations(cut, model)
-    digest = F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
-    same = (F.col("decoded") == F.coalesce("original", F.lit(""))).alias("round_trip")
-    return back.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", digest, same)
+    return summarise_segmentations(turns, model, 4, key_cols=["conv_id", "turn"])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

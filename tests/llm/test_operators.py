@@ -341,18 +341,26 @@ def test_subwords(spark, odd, empty):
 
     lattice = Lattice.get(PIECES)
 
-    def every(word):
-        chart, out = lattice.chart(word), {}
-
-        def go(at, ids, lp):
-            if at == len(chart):
-                out[tuple(ids)] = lp
-                return
-            for j, more, step in chart[at]:
-                go(j, [*ids, *more], lp + step)
+    model = lattice.model
+    weight_of = {model.id_to_piece(i): (i, 1 / (2.7 - max(model.get_score(i), -1e6))) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and (model.get_score(i) > -1e8 or len(model.id_to_piece(i)) == 1)}
+    byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
 
-        go(0, [], 0.0)
-        return out
+    def every(word):
+        out = {}
+
+        def go(at, ids, p):
+            if at == len(word):
+                out[tuple(ids)] = p
+            for j in range(at + 1, len(word) + 1):
+                if word[at:j] in weight_of:
+                    i, w = weight_of[word[at:j]]
+                    go(j, [*ids, i], p * w)
+            if at < len(word) and word[at] not in weight_of:
+                raw = word[at].encode()
+                go(at + 1, [*ids, *(byte[b] for b in raw)], p / (2.7 + len(weight_of)) ** len(raw))
+
+        go(0, [], 1.0)
+        return {ids: math.log(p / sum(out.values())) for ids, p in out.items()}
 
     for text in ("the", "x😀", "nation"):
         (word,) = lattice.words(text)
@@ -363,11 +371,20 @@ def test_subwords(spark, odd, empty):
             got = lattice.sample(text, 3, str(i).encode())
             assert len({tuple(g[0]) for g in got}) == len(got) == min(3, len(all_))
             for ids, lp, q in got:
-                assert lp == pytest.approx(all_[tuple(ids)]) and 0 < q <= 1
+                assert lp == pytest.approx(all_[tuple(ids)], abs=1e-9) and 0 < q <= 1  # GRAIN
                 weight[tuple(ids)] += 1 / q / n
             first[tuple(got[0][0])] += 1 / n
         top = max(all_, key=all_.get)
         assert first[top] == pytest.approx(math.exp(all_[top]), abs=0.05) and weight[top] == pytest.approx(1, abs=0.15)
+    # Far into a text, where nothing else can be wanted any more, words are cut by their own probabilities.
+    text, last = "a walk along the river " * 12 + "nation", Counter()
+    all_ = every("\u2581nation")
+    for i in range(600):
+        for ids, _, _ in lattice.sample(text, 2, str(i).encode()):
+            assert model.decode(ids) == text
+            last[next(s for s in all_ if tuple(ids[-len(s) :]) == s and model.id_to_piece(s[0]).startswith("\u2581"))] += 1 / 1200
+    for s, lp in all_.items():
+        assert last[s] == pytest.approx(math.exp(lp), abs=0.06)
     out = decode_segmentations(sample_segmentations(odd.withColumn("original", F.col("text")), PIECES, 2, key_cols=["doc_id", "original"]), PIECES)
     rows = out.collect()
     assert all(r.decoded == (r.original or "") for r in rows) and {r.doc_id for r in rows} == {i for i, _ in ODD}
@@ -377,6 +394,14 @@ def test_subwords(spark, odd, empty):
     assert sample_segmentations(empty, PIECES, key_cols=["doc_id"]).count() == 0
 
 
+def test_subword_query(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    got = queries.op8_subword_sampling(spark, SF).toPandas()
+    assert got.round_trip.all() and got.inclusion.between(0, 1).all() and (got.log_prob <= 0).all()
+    assert got[got["sample"] == 1].groupby(["conv_id", "turn"]).size().sum() == turns.count()
+    assert not got.duplicated(["conv_id", "turn", "ids_sha256"]).any() or turns.count() > turns.select("conv_id", "turn").distinct().count()
+
+
 def eligible(L, x):
     y = L.normalise(x).encode()
     return len(y.split()) >= L.MIN_WORDS or len(y) >= L.MIN_BYTES
