@@ -32,8 +32,10 @@ ORDER = 6
 #: Text bytes in a block.
 BLOCK_BYTES = 24 << 20
 SPACE, END, START = 0x20, 0x0A, 0x00
-#: Answers are 16-bit numbers of this part of a decimal digit.
-GRAIN = 4000
+#: Symbols worked on at once while texts are surveyed.
+PIECE = 512 << 10
+#: Answers are numbers of this part of a decimal digit.
+GRAIN = 1_000_000
 #: Sweeps of the sampler over every part; predictions of the last ``KEPT`` are averaged.
 SWEEPS, KEPT = 6, 4
 #: Strength of every restaurant; discounts are estimated for each order from its sections of one and of two customers.
@@ -91,11 +93,36 @@ def _distinct(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     packed.sort()
     key = packed >> _U(1)
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], np.add.reduceat((packed & _U(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    return key[at], np.add.reduceat((packed & _U(1)).astype(np.uint32), at) if len(at) else np.zeros(0, np.uint32)
+
+
+def _join(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tallies with sorted keys as one."""
+    (key, count), (more, n) = a, b
+    at = np.searchsorted(key, more)
+    known = np.zeros(len(more), bool)
+    inside = at < len(key)
+    known[inside] = key[at[inside]] == more[inside]
+    count[at[known]] += n[known]
+    new = ~known
+    at = at[new] + np.arange(int(new.sum()))  # where they end up
+    old = np.ones(len(key) + len(at), bool)
+    old[at] = False
+    out_key, out_count = np.empty(len(old), key.dtype), np.empty(len(old), count.dtype)
+    out_key[at], out_count[at] = more[new], n[new]
+    out_key[old] = key
+    del key, a
+    out_count[old] = count
+    return out_key, out_count
 
 
 def _merge(tallies: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return _tally(np.concatenate([k for k, _ in tallies]), np.concatenate([c for _, c in tallies]))
+    """Tallies with sorted keys as one, small ones first."""
+    while len(tallies) > 1:
+        tallies.sort(key=lambda t: -len(t[0]))
+        b, a = tallies.pop(), tallies.pop()
+        tallies.append(_join(a, b))
+    return tallies[0]
 
 
 _BLOCK = "block bigint, kind string, part int, ids binary, payload binary, counts binary"
@@ -121,7 +148,7 @@ def _survey(parts: int, block_bytes: int):
             train = ~batch.column(2).to_numpy(zero_copy_only=False)
             ids.append(batch.column(0).to_numpy())
             trains.append(train)
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PIECE):
                 sym, offs, h, doc = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bodies.append(sym.tobytes())
                 lengths.append(np.diff(offs))
@@ -129,7 +156,7 @@ def _survey(parts: int, block_bytes: int):
                 tallies.setdefault("gram", []).append(_distinct(grams(sym, offs), np.repeat(train[i:j], np.diff(offs))))
                 for kind, own in tallies.items():  # merged as they grow, to bound memory
                     if len(own) > 1 and sum(len(k) for k, _ in own[1:]) > max(len(own[0][0]), 1 << 19):
-                        tallies[kind] = [_merge(own)]
+                        tallies[kind] = [_merge(own)]  # counts of 32 bits: a block has fewer symbols
 
         def block() -> Iterator[pa.RecordBatch]:
             who = np.stack([np.concatenate(x).astype("<i8") for x in (ids, lengths, trains)])
@@ -178,8 +205,12 @@ class Restaurants:
 
     A Gibbs step takes all customers of a section up and seats them again one by one in the Chinese restaurant, given all
     else: the i-th joins an old table of its dish with weight i - d t, or opens a new one with weight (theta + d T) times
-    the parent's probability.  The seating is accepted by the Metropolis-Hastings ratio of the step weights' products,
-    which makes the block step exact.  Only the numbers of tables matter to predictions and parents, so only those are kept.
+    the parent's probability.  The seating is accepted by the ratio of the step weights' products.  Only the numbers of
+    tables matter to predictions and parents, so only those are kept.
+
+    It is an approximate sampler, in two ways.  The sections of a restaurant are reseated side by side, each given the tables
+    that the others had before the sweep, not after their own turn.  And from ``_STEPS_EXACT`` customers on, groups take
+    the weight of their first customer.
     Sections of an order are seated together, as arrays; from ``_STEPS_EXACT`` customers on, a section's further customers
     arrive in groups of a tenth, whose new tables are one binomial draw.
     """
@@ -312,14 +343,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     repeated rows are scored, and learned from, as often as they occur.  Other columns are ignored; an empty table gives an
     empty result; without training rows base and model are uniform.
 
-    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    Very long texts are scored whole; a block holds whole texts.  A symbol's log10 probability is rounded to a millionth.
+
+    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (10 ** (-score / n_tokens)).
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    result = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    result = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
     no_id = -(2**63)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.col(text_col).alias("body"), held_out(id_col, folds).alias("out"))
-    parts = min(4096, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(1 << 16, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # there are 1 << 16 keys to deal by
     survey = materialize(source.mapInArrow(_survey(parts, block_bytes), _BLOCK), "survey")
     asked = survey.filter("kind <> 'text'").select("block", "kind", "part", "payload", "counts")
 
@@ -348,7 +381,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         if key[0] == "word":
             value, form = count, "<u4"
         else:
-            value, form = np.round(np.minimum(-np.log10(sample_part(keys, count, p_one, seed=int(key[1]))[0]), 16) * GRAIN), "<u2"
+            value, form = np.round(-np.log10(sample_part(keys, count, p_one, seed=int(key[1]))[0]) * GRAIN), "<u4"
         return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "payload": pdf["payload"], "value": [_pack(value[np.searchsorted(keys, k)], form) for k in asked_keys]})
 
     answers = asked.groupBy("kind", "part").applyInPandas(answer, "block bigint, kind string, payload binary, value binary")
@@ -357,7 +390,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def settle(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         index, value = {}, {}
-        for kind, form in (("word", "<u4"), ("gram", "<u2")):
+        for kind, form in (("word", "<u4"), ("gram", "<u4")):
             own = right[right["kind"] == kind]
             index[kind] = HashIndex(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, "<u8") for x in own["payload"])]))
             value[kind] = np.concatenate([np.zeros(0, form), *(_unpack(x, form) for x in own["value"])])
@@ -372,7 +405,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 c = value["word"][index["word"].find(h >> _U(1))]
                 base = np.bincount(doc, np.log10((c + 1.0) / floor), n) + np.log10((trained + 1) / floor)
                 known = np.bincount(doc, c > 0, n).astype(np.int64) + (trained > 0)
-                frames.append(pd.DataFrame({"id": ids[i:j], "held_out": train[i:j] == 0, "n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": known, "train_tokens": n_train, "base_score": base, "score": score}))
+                frames.append(pd.DataFrame({"id": ids[i:j], "held_out": train[i:j] == 0, "n_tokens": np.bincount(doc, minlength=n) + 1, "n_known": known, "train_tokens": n_train, "base_score": base, "score": score, "perplexity": 10.0 ** (-score / (np.bincount(doc, minlength=n) + 1))}))
         return pd.concat(frames) if frames else pd.DataFrame(columns=[c.split()[0] for c in result.split(", ")])
 
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(settle, result)

@@ -118,12 +118,29 @@ def test_language_model(spark, docs, odd, empty):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(count[w] > 0 for w in tokens), n, zlib.crc32(str(i).encode()) % 7 == 2)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
-        assert r.score < 0
+        assert r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
     train = [r for r in got.values() if not r.held_out]
     assert sum(r.score for r in train) > sum(r.base_score for r in train)
     assert score_texts(odd).count() == len(ODD) and score_texts(empty).count() == 0
 
 
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    from cadenza.llm.hpylm import score_texts
+
+    got = score_texts(spark.read.parquet(f"{SF[:-3]}01/documents.parquet").select("doc_id", "text")).filter("held_out").toPandas()
+    assert len(got) > 100 and got.score.sum() / got.n_tokens.sum() > got.base_score.sum() / got.n_tokens.sum()
+
+
+def test_joined_tallies():
+    from cadenza.llm import hpylm as H
+
+    rng = np.random.default_rng(2)
+    parts = [np.sort(rng.choice(200, rng.integers(1, 90), replace=False)).astype(np.uint64) for _ in range(7)]
+    want = Counter(int(k) for p in parts for k in p)
+    key, count = H._merge([(p, np.ones(len(p), np.uint32)) for p in parts])
+    assert (np.diff(key.astype(int)) > 0).all() and dict(zip(key.tolist(), count.tolist(), strict=True)) == dict(want)
+
+
 def test_restaurants_are_normalised():
     from cadenza.llm import hpylm as H
 
