@@ -14,7 +14,6 @@ holds is the restaurants of at most one byte of context (65,536 counts).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .kernel import _U, LOWER, HashIndex, bound_batches, chunks, mix, strings, words
+from .kernel import _U, LOWER, HashIndex, bound_batches, chunks, mix, release, strings, words
 from .language import held_out
 
 ORDER = 6
@@ -172,7 +171,10 @@ def _survey(parts: int, block_bytes: int):
                 for p in range(parts):
                     own = order[edge[p] : edge[p + 1]]
                     if len(own):
-                        yield _row(number, kind, p, b"", _pack(key[own], "<u8"), _pack(count[own], "<u4"))
+                        packed, turn = _pack_keys(kind, key[own])
+                        yield _row(number, kind, p, b"", packed, _pack(count[own][turn], "<u4"))
+            del key, count, part, order
+            release()
 
         for batch in batches:
             _, offsets = strings(batch.column(1))
@@ -192,12 +194,32 @@ def _survey(parts: int, block_bytes: int):
 def _pack(numbers: np.ndarray, form: str) -> bytes:
     """Numbers by bytes of equal weight, compressed: high bytes of sorted keys and of counts repeat."""
     raw = np.ascontiguousarray(numbers.astype(form)).view(np.uint8).reshape(len(numbers), -1)
-    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _unpack(raw: bytes, form: str) -> np.ndarray:
     size = np.dtype(form).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(form).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1).T).view(form).ravel()
+
+
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the bytes of their context in reverse: sorted that way neighbours have more in common.  Twice gives them back."""
+    raw = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(raw[:, [0, *range(ORDER, 0, -1), *range(ORDER + 1, 8)]]).view("<u8").ravel()
+
+
+def _pack_keys(kind: str, keys: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Sorted distinct keys packed, and the order that this puts them in."""
+    if kind == "word":
+        return _pack(np.diff(keys, prepend=_U(0)), "<u8"), np.arange(len(keys))
+    turned = _turned(keys)
+    order = np.argsort(turned)
+    return _pack(turned[order], "<u8"), order
+
+
+def _unpack_keys(kind: str, raw: bytes) -> np.ndarray:
+    numbers = _unpack(raw, "<u8")
+    return np.cumsum(numbers, dtype=np.uint64) if kind == "word" else _turned(numbers)
 
 
 class Restaurants:
@@ -356,13 +378,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     survey = materialize(source.mapInArrow(_survey(parts, block_bytes), _BLOCK), "survey")
     asked = survey.filter("kind <> 'text'").select("block", "kind", "part", "payload", "counts")
 
-    def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        keys = [_unpack(x, "<u8") for x in pdf["payload"]]
+    def merged(kind: str, pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        release()  # what the group before left
+        keys = [_unpack_keys(kind, x) for x in pdf["payload"]]
         return keys, *_tally(np.concatenate(keys), np.concatenate([_unpack(x, "<u4") for x in pdf["counts"]]).astype(np.int64))
 
-    def first_round(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def first_round(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """For words: training tokens and distinct training words.  For grams: customers of one-byte contexts."""
-        _, keys, count = merged(pdf)
+        _, keys, count = merged(key[0], pdf)
         if key[0] == "word":
             return pd.DataFrame({"at": [-1], "n": [int(count.sum())], "d": [int((count > 0).sum())]})
         _, (at, n) = sample_part(keys, count, np.full(65536, 1 / 256), seed=int(key[1]), sweeps=1, kept=1)
@@ -376,8 +399,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     customers[low["at"].to_numpy(np.int64)] = low["n"].to_numpy(np.int64)
     p_one = low_orders(customers)
 
-    def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked_keys, keys, count = merged(pdf)
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        asked_keys, keys, count = merged(key[0], pdf)
         if key[0] == "word":
             value, form = count, "<u4"
         else:
@@ -388,11 +411,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     texts = survey.filter("kind = 'text'").select("block", "ids", "payload")
     floor = n_train + vocabulary + 1
 
-    def settle(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def settle(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        release()
         index, value = {}, {}
         for kind, form in (("word", "<u4"), ("gram", "<u4")):
             own = right[right["kind"] == kind]
-            index[kind] = HashIndex(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x, "<u8") for x in own["payload"])]))
+            index[kind] = HashIndex(np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(kind, x) for x in own["payload"])]))
             value[kind] = np.concatenate([np.zeros(0, form), *(_unpack(x, form) for x in own["value"])])
         frames = []
         for who, payload in zip(left["ids"], left["payload"], strict=True):
