@@ -11,16 +11,20 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import bound_batches, chunks, strings
+from .kernel import bound_batches, chunks, release, strings
 
-#: Labelled rows of each language that the driver gets at most, and bytes of each.
-ROWS_PER_LABEL, SAMPLE_BYTES = 600, 512
+#: Labelled rows of each language that the driver gets about, characters of each at most, and languages at most.
+ROWS_PER_LABEL, SAMPLE_CHARS, MOST_LABELS = 600, 512, 1000
 #: Bytes in a window; a text is cut into windows from its start to its end.
 WINDOW = 128
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 24, 8
 UNKNOWN = "und"
 
 
+class NoLabels(ValueError):
+    """There is nothing to learn from."""
+
+
 @dataclass
 class ByteConvNet:
     """Embedding of bytes, filters of several widths, maximum over a window, ReLU, softmax.
@@ -140,22 +144,25 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, doc, used
 
 
-def fit(docs: DataFrame, *, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_per_label: int = ROWS_PER_LABEL) -> ByteConvNet:
+def fit(docs: DataFrame, *, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", rows_per_label: int = ROWS_PER_LABEL, sample_chars: int = SAMPLE_CHARS, most_labels: int = MOST_LABELS) -> ByteConvNet:
     """Train on labelled rows (non-null label and text).
 
     The training set is bounded: about ``rows_per_label`` rows of each label, drawn by a hash of id and label, and of each at
-    most ``SAMPLE_BYTES`` bytes, from a place that the hash picks.  Everything else is fixed by seeds."""
+    most ``sample_chars`` characters, from a place that the hash picks.  Everything else is fixed by seeds.  More than
+    ``most_labels`` labels are refused, as the driver holds rows of each."""
     known = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(1000).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().limit(most_labels + 1).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        raise NoLabels("no labelled text to learn from")
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels: raise most_labels")
     labels = sorted(counts)
     share = F.create_map(*[F.lit(v) for k in labels for v in (k, float(min(1.0, rows_per_label / counts[k])))])
     h = F.xxhash64(F.col(id_col).cast("string"), F.col(label_col))
     drawn = known.filter(F.pmod(h, F.lit(1 << 30)) < share[F.col(label_col)] * (1 << 30))
-    length = F.greatest(F.length(text_col) - SAMPLE_BYTES, F.lit(0))
+    length = F.greatest(F.length(text_col) - sample_chars, F.lit(0))
     spot = F.pmod(F.xxhash64(F.lit("spot"), F.col(id_col).cast("string")), length + 1).cast("int") + 1
-    rows = drawn.select(label_col, F.col(text_col).substr(spot, F.lit(SAMPLE_BYTES)).alias("part"), h.alias("h")).orderBy("h").toPandas()
+    rows = drawn.select(label_col, F.col(text_col).substr(spot, F.lit(sample_chars)).alias("part"), h.alias("h")).orderBy("h").toPandas()
     data, offsets = strings(pa.array(rows["part"], pa.string()))
     x, doc, used = windows(data, offsets)
     y = np.array([labels.index(v) for v in rows[label_col]])[doc]
@@ -193,6 +200,7 @@ def _apply(net: ByteConvNet, n_keys: int):
             best = np.where(letter, p.argmax(1), len(net.labels))
             score = np.where(letter, p.max(1), 0.0)
             yield pa.record_batch([*batch.columns[:n_keys], names.take(pa.array(best)), pa.array(score)], [*[f"k{i}" for i in range(n_keys)], "lang_pred", "score"])
+        release()
 
     return run
 
@@ -200,7 +208,8 @@ def _apply(net: ByteConvNet, n_keys: int):
 def identify(docs: DataFrame, net: ByteConvNet, keys: list[Column], *, text_col: str = "text") -> DataFrame:
     """Predict the language of every whole text: (keys..., lang_pred, score).
 
-    Every byte of a text lies in a window; windows' log probabilities are averaged, weighted by their bytes, and sharpened
+    Every byte of a text lies in one window, so a pattern across a border is not seen; a very long text is worked through in
+    parts of whole windows.  Windows' log probabilities are averaged, weighted by their bytes, and sharpened
     by up to four windows' evidence.  ``und`` with score 0 for a null text or one without a letter.  Rows keep their own
     result each, repeated ones too; an empty table gives an empty result.  No shuffle.
     """
@@ -224,6 +233,6 @@ def predict_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     keys = [F.col(id_col), held_out(id_col, folds).alias("held_out")]
     try:
         net = fit(docs.filter(~held_out(id_col, folds)), label_col=label_col, id_col=id_col, text_col=text_col)
-    except ValueError:
+    except NoLabels:
         return docs.select(*keys, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     return identify(docs, net, keys, text_col=text_col)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import discard, materialize
 from .components import connected_components
-from .kernel import _U, CHUNK, bound_batches, mix, strings, words
+from .kernel import _U, CHUNK, bound_batches, mix, release, strings, words
 
 #: Registers in a band: four registers of 16 bits fill a 64-bit key.
 ROWS = 4
@@ -107,6 +107,7 @@ def _sketch(k: int, m: int):
                 sketch = hyperminhash(shingle, doc, n, m)
                 raw = pa.Array.from_buffers(pa.binary(m * 2), n, [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
                 yield pa.record_batch([batch.column(0).slice(i, n), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), raw], ["id", "n", "d1", "d2", "sketch"])
+        release()
 
     return run
 
@@ -156,6 +157,7 @@ def _sets(k: int):
                 edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]) * 8
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(shingle)]).cast(pa.binary())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), raw], ["id", "shingles"])
+        release()
 
     return run
 
