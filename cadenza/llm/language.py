@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import bound_batches, chunks, release, strings
+from .kernel import bound_batches, chunks, strings, tidy
 
 #: Labelled rows of each language that the driver gets about, characters of each at most, and languages at most.
 ROWS_PER_LABEL, SAMPLE_CHARS, MOST_LABELS = 600, 512, 1000
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, *, label_col: str = "lang", id_col: str = "doc_id", tex
 
 
 def _apply(net: ByteConvNet, n_keys: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         names = pa.array([*net.labels, UNKNOWN])
@@ -200,7 +201,6 @@ def _apply(net: ByteConvNet, n_keys: int):
             best = np.where(letter, p.argmax(1), len(net.labels))
             score = np.where(letter, p.max(1), 0.0)
             yield pa.record_batch([*batch.columns[:n_keys], names.take(pa.array(best)), pa.array(score)], [*[f"k{i}" for i in range(n_keys)], "lang_pred", "score"])
-        release()
 
     return run
 

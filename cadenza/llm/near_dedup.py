@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import discard, materialize
 from .components import connected_components
-from .kernel import _U, CHUNK, bound_batches, mix, release, strings, words
+from .kernel import _U, CHUNK, bound_batches, mix, strings, tidy, words
 
 #: Registers in a band: four registers of 16 bits fill a 64-bit key.
 ROWS = 4
@@ -92,6 +92,7 @@ def hyperminhash(shingle: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> n
 
 
 def _sketch(k: int, m: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -107,7 +108,6 @@ def _sketch(k: int, m: int):
                 sketch = hyperminhash(shingle, doc, n, m)
                 raw = pa.Array.from_buffers(pa.binary(m * 2), n, [None, pa.py_buffer(np.ascontiguousarray(sketch))]).cast(pa.binary())
                 yield pa.record_batch([batch.column(0).slice(i, n), pa.array(size, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), raw], ["id", "n", "d1", "d2", "sketch"])
-        release()
 
     return run
 
@@ -117,6 +117,7 @@ def _bucket(band: np.ndarray, number) -> np.ndarray:
     return mix(band + np.asarray(number).astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+@tidy
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
@@ -139,6 +140,7 @@ def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, num: i
 
 
 def _star_filter(num: int, den: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -150,6 +152,7 @@ def _star_filter(num: int, den: int):
 
 
 def _sets(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -157,12 +160,12 @@ def _sets(k: int):
                 edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]) * 8
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(shingle)]).cast(pa.binary())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), raw], ["id", "shingles"])
-        release()
 
     return run
 
 
 def _confirm(num: int, den: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -177,6 +180,7 @@ def _confirm(num: int, den: int):
     return run
 
 
+@tidy
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets as 32-bit hashes."""
     for batch in batches:
@@ -232,6 +236,7 @@ def _rest(num: int, den: int):
             a, b, sure = (np.array(x) for x in zip(*found, strict=True))
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialize
-from .kernel import bound_batches, chunks, strings
+from .kernel import bound_batches, chunks, strings, tidy
 
 #: Pieces dealt to one packing task; only the last bins of a task can stay half empty.
 PIECES_PER_TASK = 60_000
@@ -24,6 +24,7 @@ _PIECE = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def _tokenise(path: str, capacity: int, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import BatchBPE
 
@@ -97,6 +98,7 @@ class BestFit:
 
 
 def _pack(capacity: int, open_bins: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         fit, out, n_bins = BestFit(capacity, open_bins), [], 0
