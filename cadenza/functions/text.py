@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,8 +92,6 @@ def alignment(ref: Column, hyp: Column) -> Column:
 
 def alignment_udf():
     """The same for texts of any length: an Arrow UDF over distinct pairs, one vectorised row of the table at a time."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("s long, d long, i long, n long, errors long")
     def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:

@@ -87,9 +87,9 @@ def verdict(checks: list[Column]) -> Column:
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Weights by which both classes carry half of the total; the class counts (two rows) are joined back."""
+    """Weights by which both classes carry half of the total; the class counts (two rows) are joined back.  Rows of a null label go."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return df.join(F.broadcast(counts.limit(64)), label).withColumn("weight", 0.5 / F.col("_n")).drop("_n")
+    return df.join(counts, label).withColumn("weight", 0.5 / F.col("_n")).drop("_n")
 
 
 def standardized(df: DataFrame, columns: list[str], tiny: float = 1e-8) -> DataFrame:

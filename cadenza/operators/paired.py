@@ -52,7 +52,9 @@ def acceptance(comparison: DataFrame, facts: DataFrame) -> DataFrame:
     use_full = F.coalesce(c("_full"), F.lit(False))
     pp, rel = (F.when(use_full, c(f"_full_{k}")).otherwise(c(f"_any_{k}")) for k in ("pp", "rel"))
     have = c("quality_samples").isNotNull()
-    row = picked.crossJoin(F.broadcast(facts.limit(1))).select(
+    several = F.raise_error(F.lit("more than one row of facts")).cast("boolean")
+    one = facts.agg(*[F.max(x).alias(x) for x in facts.columns], F.count("*").alias("_n")).filter(F.when(c("_n") > 1, several).otherwise(c("_n") == 1)).drop("_n")
+    row = picked.crossJoin(F.broadcast(one)).select(
         F.coalesce(c("result_valid"), F.lit(False)).alias("result_valid"), (c("asr_errors") == 0).alias("asr_errors_zero"), have.alias("quality_available"), F.coalesce(have & (c("quality_samples") == c("expected")), F.lit(False)).alias("quality_complete"),
         F.when(have, c("near_silent") == 0).alias("near_silent_zero"), F.when(pp.isNotNull(), (pp >= 5.0) | F.coalesce(rel >= 0.15, F.lit(False))).alias("high_overlap_gain"),
         (c("_single_pp") >= -2.0).alias("single_degradation_le_2pp"), (c("_extreme_pp") >= 0.0).alias("extreme_direction_not_reversed"),

@@ -26,10 +26,10 @@ def _hyps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("F2 A1 A2", f"""WITH {views.ALIGNED} SELECT split, count(*) AS pairs, CAST(sum(s) AS BIGINT) AS substitutions, CAST(sum(d) AS BIGINT) AS deletions, CAST(sum(i) AS BIGINT) AS insertions, CAST(sum(n) AS BIGINT) AS reference_chars,
-  round(CAST(sum(errors) AS DOUBLE) / sum(n), 6) AS corpus_cer, round(avg(CAST(errors AS DOUBLE) / n), 4) AS sentence_cer FROM pairs JOIN sdi USING (ref, hyp) GROUP BY split""")
+  round(CAST(sum(errors) AS DOUBLE) / sum(n), 6) AS corpus_cer, round(avg(round_even(CAST(errors AS DOUBLE) / n, 4)), 4) AS sentence_cer FROM pairs JOIN sdi USING (ref, hyp) GROUP BY split""")
 def corpus_cer_by_split(spark: SparkSession, sf: str) -> DataFrame:
     *sums, ratio = metrics.corpus_cer(F.col("s"), F.col("d"), F.col("i"), F.col("n"))
-    return views.aligned(spark, sf).groupBy("split").agg(F.count("*").alias("pairs"), *sums, F.round(ratio, 6).alias("corpus_cer"), F.round(F.avg(F.col("errors") / F.col("n")), 4).alias("sentence_cer"))
+    return views.aligned(spark, sf).groupBy("split").agg(F.count("*").alias("pairs"), *sums, F.round(ratio, 6).alias("corpus_cer"), F.round(metrics.sentence_cer(F.col("errors"), F.col("n")), 4).alias("sentence_cer"))
 
 
 @query("F1 F10", f"WITH {views.PAIRS} SELECT id, levenshtein(ref, hyp) AS distance, round(CAST(levenshtein(ref, hyp) AS DOUBLE) / greatest(length(ref), length(hyp)), 6) AS scaled FROM pairs")

@@ -65,3 +65,11 @@ def test_validation(spark):
         relational.validated(df, "id", ["text"])
     with pytest.raises(Exception, match="no entry for"):
         relational.referenced(df.filter("id IS NOT NULL"), spark.createDataFrame([("b", 1)], "id string, v int"), "id").collect()
+
+
+def test_class_weights_keep_every_label(spark):
+    from cadenza.operators import metrics
+
+    rows = [(i % 100, i) for i in range(300)]
+    got = metrics.class_weights(spark.createDataFrame(rows, "label int, i int"), "label").collect()
+    assert len(got) == 300 and all(r.weight == pytest.approx(0.5 / 3) for r in got)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from cadenza.functions import vectors as V
 from cadenza.operators import sequences as S
@@ -8,22 +10,47 @@ def series(spark, values):
     return spark.createDataFrame([("a", t, float(p)) for t, p in enumerate(values)], "id string, t long, p double")
 
 
-@pytest.mark.parametrize(("values", "runs"), [([0.1, 0.3, 0.8, 0.75, 0.6, 0.2, 0.1, 0.9, 0.85, 0.2], [(2, 4), (7, 8)]), ([0.8, 0.5, 0.35, 0.4, 0.25], [(0, 3)]), ([0.1, 0.2], [])])
-def test_hysteresis(spark, values, runs):
-    got = S.active_runs(S.hysteresis(series(spark, values), ["id"], ["t"], "p", 0.7, 0.3), ["id"], ["t"], "t")
-    assert sorted((r.start, r.end) for r in got.collect()) == runs
+def machine(values, on, off):
+    """Runs of a switch that a value of at least ``on`` turns on and one below ``off`` turns off."""
+    runs, active = [], False
+    for t, p in enumerate(values):
+        active = p >= on or (active and p >= off)
+        if active and runs and runs[-1][1] == t - 1:
+            runs[-1] = (runs[-1][0], t)
+        elif active:
+            runs.append((t, t))
+    return runs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hysteresis(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice([0.0, 0.15, 0.45, 0.55, 0.62, 0.9, rng.random()]) for _ in range(rng.randint(1, 120))]
+    got = S.active_runs(S.hysteresis(series(spark, values), ["id"], ["t"], "p", 0.62, 0.45), ["id"], ["t"], "t")
+    assert sorted((r.start, r.end) for r in got.collect()) == machine(values, 0.62, 0.45)
     with pytest.raises(ValueError):
-        S.hysteresis(series(spark, values), ["id"], ["t"], "p", 0.3, 0.3)
-
-
-def test_merge_core_guard(spark):
-    seg = spark.createDataFrame([("a", 10, 29), ("a", 40, 59), ("a", 90, 109)], "id string, start long, end long")
-    assert sorted((r.start, r.end) for r in S.merge_gaps(seg, ["id"], 15).collect()) == [(10, 59), (90, 109)]
-    short = spark.createDataFrame([("a", 10, 14), ("a", 50, 99)], "id string, start long, end long")
-    assert [(r.start, r.end) for r in S.drop_short(short, 20).collect()] == [(50, 99)]
-    wide = S.add_guard(short.filter("start = 50"), 10, 10, 199).first()
-    assert (wide.guarded_start, wide.guarded_end) == (40, 109)
-    assert S.add_guard(spark.createDataFrame([("a", 2, 5)], "id string, start long, end long"), 10, 10, 19).first().guarded_start == 0
+        S.hysteresis(series(spark, values), ["id"], ["t"], "p", 0.45, 0.45)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gaps_cores_and_guards(spark, seed):
+    rng, at, rows = random.Random(40 + seed), 0, []
+    for _ in range(30):
+        start = at + rng.randint(1, 25)
+        at = start + rng.randint(0, 30)
+        rows.append((start, at))
+    merged = []
+    for start, end in rows:
+        if merged and start - merged[-1][1] <= 9:
+            merged[-1] = (merged[-1][0], end)
+        else:
+            merged.append((start, end))
+    seg = S.merge_gaps(spark.createDataFrame([("a", *r) for r in rows], "id string, start long, end long").repartition(3), ["id"], 9)
+    assert sorted((r.start, r.end) for r in seg.collect()) == merged
+    cores = S.drop_short(seg, 12)
+    assert sorted((r.start, r.end) for r in cores.collect()) == [(s, e) for s, e in merged if e - s + 1 >= 12]
+    wide = S.add_guard(cores, 7, 5, at + 2).collect()
+    assert all((r.guarded_start, r.guarded_end) == (max(r.start - 7, 0), min(r.end + 5, at + 2)) for r in wide)
 
 
 def test_overlapping_merge_uses_running_maximum(spark):
