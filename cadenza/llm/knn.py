@@ -45,11 +45,14 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int
     """The k highest products of each query, ties to the smaller id; a row is no neighbour of its own."""
     order = np.argsort(xid, kind="stable")
     x, xid = x[order], xid[order]
+    if not exact:  # products beyond what a double holds
+        q, x = q.astype(np.int64), x.astype(np.int64)
+    none = -np.inf if exact else np.iinfo(np.int64).min
     out_q, out_x, out_s = [], [], []
     for a in range(0, len(q), 256):
         part, ids = q[a : a + 256], qid[a : a + 256]
-        scores = part @ x.T if exact else (part.astype(np.int64)[:, None, :] * x.astype(np.int64)[None]).sum(2).astype(object).astype(np.float64)
-        scores[ids[:, None] == xid[None, :]] = -np.inf
+        scores = part @ x.T
+        scores[ids[:, None] == xid[None, :]] = none
         for row, one in zip(scores, ids, strict=True):
             if len(row) > k:
                 limit = row[np.argpartition(row, len(row) - k)[len(row) - k]]
@@ -57,7 +60,7 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int
                 pick = np.concatenate([above, np.flatnonzero(row == limit)[: k - len(above)]])
             else:
                 pick = np.arange(len(row))
-            pick = pick[row[pick] > -np.inf]
+            pick = pick[row[pick] > none]
             out_q.append(np.full(len(pick), one))
             out_x.append(xid[pick])
             out_s.append(row[pick])
@@ -84,7 +87,8 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
     any share of the rows), each pair of blocks is solved by one matrix product, and the local winners are merged.
 
     Null ids or vectors, and vectors with null or non-finite components, take no part; shorter vectors count as padded
-    with zeros; an id that occurs twice is one candidate per row, and no candidate of itself.  With fewer than k
+    with zeros; an id that occurs twice is one candidate per row, and no candidate of itself.  Products are whole numbers of up to
+    62 bits; vectors that could give larger ones are refused.  With fewer than k
     candidates all are returned.  Returns query_id, rank (from 1), vec_id, score.
     """
     spark = vectors.sparkSession
@@ -95,6 +99,8 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
     if not facts["n"] or not facts["nq"] or not facts["dim"]:
         return spark.createDataFrame([], schema)
     dim, reach, exact = facts["dim"], float(facts["m"]), facts["dim"] * float(facts["top"] or 0) ** 2 < 2**53
+    if dim * float(facts["top"] or 0) ** 2 >= 2**62:
+        raise ValueError("scores would not fit into 64 bits")
     n_pivots = min(MAX_PIVOTS, max(8, -(-facts["nq"] // QUERIES_PER_PIVOT)))
     picked = base.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
     pivots = np.zeros((len(picked), dim))

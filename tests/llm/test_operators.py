@@ -589,6 +589,18 @@ def test_top_k(spark, monkeypatch):
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_of_large_values(spark):
+    from cadenza.llm.knn import voronoi_top_k
+
+    big = 2**27
+    rows = [(0, [big, 1]), (1, [big, 2]), (2, [big, 3]), (3, [big, 5]), (4, [-big, 0])]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = voronoi_top_k(frame, F.col("id") == 0, 3, scale=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, big**2 + 5), (2, big**2 + 3), (1, big**2 + 2)]
+    with pytest.raises(ValueError):
+        voronoi_top_k(frame, F.col("id") == 0, 3, scale=float(2**20))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
