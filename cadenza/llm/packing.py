@@ -20,6 +20,8 @@ PIECES_PER_TASK = 60_000
 OPEN_BINS = 2048
 #: Pieces that arrive in a row by falling size.
 RUN = 4_000
+#: Bytes of text encoded at once: every byte takes some 40 more while that lasts.
+PIECE = 256 << 10
 _PIECE = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -31,7 +33,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
         bpe = BatchBPE.get(path)
         for batch in batches:
             _, offsets = strings(batch.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, PIECE):
                 part = batch.slice(i, j - i)
                 flat, offs = bpe.encode(part.column(1).to_pylist())
                 n = j - i
