@@ -44,30 +44,63 @@ def multi_resolution_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(IntegerType())
 def best_lag(target: pd.Series, other: pd.Series, wanted: pd.Series) -> pd.Series:
-    """The shift of ``other`` at which the share of target activity that it overlaps is nearest to ``wanted``; the smallest
-    such shift.  All shifts at once, by FFT cross-correlation."""
-
-    def one(t: np.ndarray, o: np.ndarray, w: float) -> int:
-        n = 1 << int(np.ceil(np.log2(len(t) + len(o))))
-        cross = np.fft.irfft(np.fft.rfft(t, n) * np.conj(np.fft.rfft(o, n)), n)[: len(t)]
-        return int(np.argmin(np.round(np.abs(cross / max(t.sum(), 1.0) - w), 9)))
+    """The shift of the mask ``other`` (negative: to the left) at which the share of target activity that it overlaps is nearest
+    to ``wanted``; the smallest such shift.  Null if that share is more than 0.01 away or a mask has no activity.  All shifts
+    at once, by FFT cross-correlation of whole numbers."""
+
+    def one(t: np.ndarray, o: np.ndarray, w: float) -> int | None:
+        t, o = t > 0.5, o > 0.5
+        if not t.any() or not o.any():
+            return None
+        m = len(t) + len(o) - 1
+        met = np.rint(np.fft.irfft(np.fft.rfft(t, m + 1) * np.fft.rfft(o[::-1], m + 1), m + 1)[:m])
+        away = np.round(np.abs(np.clip(met / t.sum(), 0, 1) - w), 12)
+        best = int(away.argmin())
+        return best - (len(o) - 1) if away[best] <= 0.01 else None
 
     return _each(one, target, other, wanted).astype("Int32")
 
 
+def _convolved(a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    n = len(a) + len(r) - 1
+    return np.fft.irfft(np.fft.rfft(a, n + n % 2) * np.fft.rfft(r, n + n % 2), n + n % 2)[:n]
+
+
 @F.pandas_udf(SAMPLES)
 def convolve_room(x: pd.Series, rir: pd.Series) -> pd.Series:
-    """Convolution with a room response scaled to unit energy, from its peak on, cut to the input's length."""
+    """Convolution with a room response from its peak on (0.8 s of it), that part scaled to unit energy; cut to the input's
+    length.  An empty response changes nothing."""
 
     def one(a: np.ndarray, r: np.ndarray) -> np.ndarray:
-        r = r[int(np.abs(r).argmax()) :]
-        r = r / (np.sqrt((r * r).sum()) + 1e-8)
-        n = len(a) + len(r) - 1
-        return np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(r, n), n)[: len(a)]
+        if not len(r) or not len(a):
+            return a
+        direct = int(np.abs(r).argmax())
+        r = r[direct : direct + int(0.8 * RATE)]
+        return _convolved(a, r / (np.sqrt((r * r).sum()) + 1e-12))[: len(a)]
 
     return _each(one, x, rir)
 
 
+def convolve_room_aligned(n: int):
+    """Convolution with the whole response scaled to unit energy, read from its peak on, as n samples (zeros after the end).
+    Null for a response without energy."""
+
+    @F.pandas_udf(SAMPLES)
+    def run(x: pd.Series, rir: pd.Series) -> pd.Series:
+        def one(a: np.ndarray, r: np.ndarray) -> np.ndarray | None:
+            size = np.sqrt((r * r).sum())
+            if size <= 1e-8:
+                return None
+            if not len(a):
+                return np.zeros(n)
+            cut = _convolved(a, r / (size + 1e-8))[int(np.abs(r).argmax()) :][:n]
+            return np.pad(cut, (0, n - len(cut)))
+
+        return _each(one, x, rir)
+
+    return run
+
+
 @F.pandas_udf(SAMPLES)
 def resample(x: pd.Series, rate: pd.Series) -> pd.Series:
     """Linear interpolation to 16 kHz."""

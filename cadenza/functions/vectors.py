@@ -86,7 +86,7 @@ def peak(a: Column) -> Column:
 def clipping_ratio(a: Column, share: float = 0.95) -> Column:
     """Part of the samples within ``share`` of the peak; 0 for silence."""
     hit = lambda top: F.size(F.filter(a, lambda v: F.abs(v.cast("double")) >= top * share)).cast("double")
-    return let(peak(a), lambda top: F.when(top > 1e-10, F.try_divide(hit(top), F.size(a))).otherwise(0.0))
+    return let(peak(a), lambda top: F.when(top >= 1e-6, F.try_divide(hit(top), F.size(a))).otherwise(0.0))
 
 
 def clipped_ratio(a: Column, level: float = 0.99) -> Column:
@@ -139,6 +139,16 @@ def energy_ratio(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, a) / (dot(b, b) + eps)
 
 
+def activity_ratio(p: Column, level: float = 0.5) -> Column:
+    return F.try_divide(F.size(F.filter(p, lambda v: v.cast("double") > level)).cast("double"), F.size(p))
+
+
+def si_sdr_gain(estimate: Column, mixture: Column, reference: Column) -> Column:
+    """Decibels that the estimate is nearer to the reference than the mixture was."""
+    of = lambda x: let(si_sdr_parts(x, reference), lambda s: decibel(s["signal"], s["error"]))
+    return of(estimate) - of(mixture)
+
+
 def frames(a: Column, size: int, hop: int) -> Column:
     """Array of windows of ``size`` every ``hop``; one shorter window if the series is shorter."""
     n = F.size(a)
@@ -198,12 +208,6 @@ def weighted_median(pairs: Column) -> Column:
     return F.coalesce(let(total, walk), F.lit(0.0))
 
 
-def mix_at_ratio(target: Column, other: Column, decibels: Column, eps: float = 1e-8) -> Column:
-    """target + g * other with g such that their power ratio is ``decibels``."""
-    gain = F.sqrt(dot(target, target) / F.size(target) / ((dot(other, other) / F.size(other) + eps) * F.pow(F.lit(10.0), decibels / 10)))
-    return let(gain, lambda g: F.zip_with(target, other, lambda x, y: x.cast("double") + g * y.cast("double")))
-
-
 def power_on_mask(a: Column, mask: Column) -> Column:
     held = F.zip_with(a, mask, lambda v, m: F.when(m > 0, v.cast("double") * v.cast("double")).otherwise(0.0))
     return F.coalesce(F.try_divide(_sum(held), _sum(F.transform(mask, lambda m: F.when(m > 0, 1.0).otherwise(0.0)))), F.lit(0.0))

@@ -133,6 +133,13 @@ def audit_and_decide(df: DataFrame, thresholds: AuditThresholds = AuditThreshold
     return audited.withColumn("_c", choice).withColumn("decided_action", F.when(F.col("final_action") == "GRAY", F.col("_c.action")).otherwise(F.col("final_action"))).withColumn("decided_reason", F.when(F.col("final_action") == "GRAY", F.col("_c.reason"))).drop("_c")
 
 
+def identity_vector() -> Column:
+    """Struct of the frozen identity features over columns q_enroll, activity_mean, activity_seconds, s_tgt, energy_ratio,
+    valid_tgt_sv, with a flag where the score is missing."""
+    c = F.col
+    return F.struct("q_enroll", "activity_mean", c("activity_seconds").alias("target_activity_duration"), "s_tgt", c("s_tgt").isNull().alias("s_tgt_missing"), c("energy_ratio").alias("target_energy_ratio"), "valid_tgt_sv")
+
+
 def legacy_state(target: Column, residual: Column, spread: Column, present: float = 0.35, empty: float = 0.18, leak: float = 0.40) -> Column:
     """Struct (state, reason) by one score: high (unless the residual is high or windows spread over .25), low, leaked, open."""
     leaked = residual > target + 0.15

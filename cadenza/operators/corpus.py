@@ -97,3 +97,23 @@ def scene_filter(mode: str, present: Column, scenario: Column) -> Column:
         return F.coalesce(present, F.lit(True))
     names = {"b2": ["absent", "enroll_swap_absent"], "b3": ["enroll_swap_target_1", "enroll_swap_target_2", "enroll_swap_absent"]}[mode]
     return scenario.isNull() | scenario.isin(names)
+
+
+def flagged(c: Column) -> Column:
+    """A flag written as true, True or 1; anything else, null too, is no flag."""
+    return F.coalesce(c.cast("string").isin("true", "True", "1"), F.lit(False))
+
+
+def is_swap(scenario: Column, flag: Column, *enrolments: Column) -> Column:
+    """Whether another enrolment was put in place: by the scenario's name, by a flag, or by a field that names it."""
+    named = [F.coalesce(e.cast("string"), F.lit("")) != "" for e in enrolments]
+    out = F.coalesce(scenario.contains("enroll_swap"), F.lit(False)) | flagged(flag)
+    for n in named:
+        out = out | n
+    return out
+
+
+def force_zero(present: Column, absent: Column, swap: Column) -> Column:
+    """Whether the target must come out as silence: where the speaker is known not to be there; where nothing is known, for
+    absent and swapped entries."""
+    return F.when(present.isNotNull(), ~present).otherwise(absent | swap)

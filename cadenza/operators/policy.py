@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import normalize
 from ..functions.vectors import sigmoid
 
+# The names of features in published models.
 BASIC_FEATURES = ["speaker_similarity", "intent_distance", "fusion_score", "hyp_len_norm", "has_hyp", "known_phrase", "very_short_hyp"]
 EXTENDED_FEATURES = [*BASIC_FEATURES, "intent_perfect", "intent_near", "sim_x_intent", "low_sim_flag", "high_sim_flag", "perfect_x_sim"]
 
@@ -98,6 +99,21 @@ def rankings(table: DataFrame, k: int = 5, least_rr: float = 0.85) -> DataFrame:
     return top("balanced", table, F.desc("balanced_score")).unionByName(top("cer", table, cer)).unionByName(top("constrained", table.filter(F.col("neg_rr") >= least_rr), cer))
 
 
+def threshold_table(measures: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of a sweep (threshold, score_80, rr), by score and then by rejection rate; equals by threshold."""
+    return measures.orderBy(F.desc("score_80"), F.desc("rr"), "threshold").limit(k)
+
+
+def top_policies(table: DataFrame, score: str, order: list[str], k: int = 12) -> DataFrame:
+    """The k policies of the largest score; equals stay in the order of the grid."""
+    return table.orderBy(F.desc(score), *order).limit(k)
+
+
+def by_tuple(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Sorted by all columns, the largest first; nulls last."""
+    return table.orderBy(*[F.desc_nulls_last(c) for c in columns])
+
+
 def fusion(sim: Column, intent: Column, weight: float = 0.7) -> Column:
     return sim - weight * intent
 

@@ -51,6 +51,27 @@ def with_pair(rows: DataFrame, table: DataFrame, left: str, right: str, key: str
     return rows.join(a, left).join(b, right)
 
 
+def combined(frames: list[DataFrame], key: str) -> DataFrame:
+    """All rows of several manifests; raises for a key that occurs twice, within one or across them."""
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    rest = [c for c in every.columns if c != key]
+    once = every.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    checked = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("repeated key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(every.schema[key].dataType))
+    return once.select(checked.alias(key), *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def scored(rows: DataFrame, items: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """Rows with their item (the last one of a key by ``order``); those without an item or without its score are left out."""
+    return rows.join(latest(items, keys, order).filter(F.col(score).isNotNull()), keys)
+
+
+def unscored(rows: DataFrame, items: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """What ``scored`` leaves out."""
+    return rows.join(latest(items, keys, order).filter(F.col(score).isNotNull()), keys, "left_anti")
+
+
 def wrong_partner(df: DataFrame, group: str, key: str, who: str, usable: Column) -> DataFrame:
     """For each row the first other row (by key) of its group with another ``who``: by one window, not a self-join.
 

@@ -113,3 +113,10 @@ def ends_compared(df: DataFrame, keys: list[str], step: str, value: str, n: int)
     marked = df.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)}).filter((F.col("_up") <= n) | (F.col("_down") <= n))
     first, last = (F.avg(F.when(F.col(c) <= n, F.col(value))) for c in ("_up", "_down"))
     return marked.groupBy(*keys).agg(first.alias("first_mean"), last.alias("last_mean"), (last < first).alias("decreased"))
+
+
+def counted_steps(df: DataFrame, keys: list[str], order: list[str], every: dict[str, int], totals: dict[str, str] | None = None) -> DataFrame:
+    """``step`` from 1 on, running sums (name: column), and a flag for each trigger (name: period) at its multiples."""
+    w = _ordered(keys, order)
+    out = df.withColumns({"step": F.row_number().over(w).cast("long"), **{name: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for name, c in (totals or {}).items()}})
+    return out.withColumns({name: F.col("step") % n == 0 for name, n in every.items()})

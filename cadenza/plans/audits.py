@@ -35,7 +35,7 @@ def _audited(spark: SparkSession, sf: str) -> DataFrame:
     return _evidence(spark, sf).withColumn("a", audit.three_state()).select("*", "a.*")
 
 
-@query("D14 D15 D16", f"""WITH {_AUDIT} SELECT event_id, audit_state, CASE audit_state WHEN 'PRESENT' THEN 'EMIT' WHEN 'GRAY' THEN 'GRAY' ELSE 'EMPTY' END AS final_action, round(identity_score, 6) AS identity_score,
+@query("D14 D15", f"""WITH {_AUDIT} SELECT event_id, audit_state, CASE audit_state WHEN 'PRESENT' THEN 'EMIT' WHEN 'GRAY' THEN 'GRAY' ELSE 'EMPTY' END AS final_action, round(identity_score, 6) AS identity_score,
 CASE WHEN audit_state = 'GRAY' THEN array_to_string(doubts, ',') ELSE '' END AS doubts FROM a""")
 def three_state_audit(spark: SparkSession, sf: str) -> DataFrame:
     codes = F.col("reason_codes")
@@ -46,7 +46,7 @@ def three_state_audit(spark: SparkSession, sf: str) -> DataFrame:
 _TEXT = "CASE WHEN event_id % 9 = 0 THEN ' ' WHEN event_id % 10 = 0 THEN NULL ELSE event_type END"
 
 
-@query("D17 D19", f"""WITH {_AUDIT}, r AS (SELECT event_id, CASE WHEN audit_state <> 'GRAY' THEN 'NOT_GRAY_STATE' WHEN trim(coalesce({_TEXT.replace('event_type', "'x'")}, '')) = '' THEN 'ASR_EMPTY' WHEN identity_score IS NULL THEN 'IDENTITY_SCORE_MISSING' WHEN identity_score < 0.5 THEN 'IDENTITY_BELOW_FLOOR' WHEN identity_score = 0.5 THEN 'IDENTITY_AT_FLOOR_EQUALITY' ELSE 'IDENTITY_ABOVE_FLOOR' END AS reason FROM a)
+@query("D17", f"""WITH {_AUDIT}, r AS (SELECT event_id, CASE WHEN audit_state <> 'GRAY' THEN 'NOT_GRAY_STATE' WHEN trim(coalesce({_TEXT.replace('event_type', "'x'")}, '')) = '' THEN 'ASR_EMPTY' WHEN identity_score IS NULL THEN 'IDENTITY_SCORE_MISSING' WHEN identity_score < 0.5 THEN 'IDENTITY_BELOW_FLOOR' WHEN identity_score = 0.5 THEN 'IDENTITY_AT_FLOOR_EQUALITY' ELSE 'IDENTITY_ABOVE_FLOOR' END AS reason FROM a)
 SELECT event_id, CASE WHEN reason = 'IDENTITY_ABOVE_FLOOR' THEN 'EMIT' ELSE 'EMPTY' END AS action, reason FROM r""")
 def gray_decision(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.col("event_id") % 9 == 0, " ").when(F.col("event_id") % 10 == 0, None).otherwise("x")
@@ -72,15 +72,6 @@ def legacy_audit(spark: SparkSession, sf: str) -> DataFrame:
     return views.trials(spark, sf).withColumn("s", state).select("vec_id", "split", "s.*")
 
 
-@query("V11 V13", """WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS a FROM embeddings), p AS (SELECT vec_id, sqrt(list_inner_product(a, a) / len(a) + 1e-10) AS rms, len(list_filter(a, lambda x: x >= list_max(a) * 0.95)) / len(a) AS clip, list_max(a) AS peak FROM e)
-SELECT vec_id, round(exp((ln(least(greatest(rms * 5, 0.01), 1)) + ln(least(greatest(1 - clip, 0.01), 1)) + ln(least(greatest(peak, 0.01), 1))) / 3), 6) AS quality FROM p""")
-def enroll_quality_score(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions import vectors as V
-
-    e = F.col("embedding")
-    return table(spark, sf, "embeddings").select("vec_id", F.round(audit.quality_score([V.rms(e) * 5, 1 - V.clipping_ratio(e), V.peak(e)]), 6).alias("quality"))
-
-
 @query("D27", """SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'EMPTY' WHEN length(text) / 1000.0 < 0.5 THEN 'TOO_SHORT' WHEN length(text) / 1000.0 > 30 THEN 'TOO_LONG' ELSE 'OK' END AS status, CASE WHEN source = 'src0' THEN 'DOWNMIX' ELSE '' END AS notes FROM documents""")
 def input_validity_cascade(spark: SparkSession, sf: str) -> DataFrame:
     n = F.length("text")

@@ -69,7 +69,7 @@ def _rates(met: DataFrame, ok, keys: list[str]) -> DataFrame:
     return met.groupBy(*keys).agg(F.round(cer, 6).alias("cer"), F.round(tally(neg & ~ok, F.col("k")) / F.greatest(tally(neg, F.col("k")), F.lit(1)), 6).alias("rr"))
 
 
-@query("D4 D6 O5", f"WITH {_ITEMS}, x AS (SELECT *, sim >= sv AND intent_dist <= it AS ok FROM items, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS sv), (SELECT unnest([0.3, 0.5, 0.7, 0.9]) AS it)) SELECT sv, it AS intent, {_RATES} FROM x GROUP BY sv, it")
+@query("D4", f"WITH {_ITEMS}, x AS (SELECT *, sim >= sv AND intent_dist <= it AS ok FROM items, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS sv), (SELECT unnest([0.3, 0.5, 0.7, 0.9]) AS it)) SELECT sv, it AS intent, {_RATES} FROM x GROUP BY sv, it")
 def policy_simulation(spark: SparkSession, sf: str) -> DataFrame:
     facts = _items(spark, sf).groupBy("split", "sim", "intent_dist").agg(F.sum("n").alias("n"), F.sum("raw_err").alias("e"), F.count("*").alias("k"))
     combos = policy.grid(spark, "sv", [i / 10 for i in range(1, 9)]).crossJoin(policy.grid(spark, "intent", [0.3, 0.5, 0.7, 0.9]))

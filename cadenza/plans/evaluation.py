@@ -35,7 +35,7 @@ def paired_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return paired.summarize(_predictions(spark, sf)).withColumn("cer", F.round("cer", 6))
 
 
-@query("A6 J10", f"WITH {_PRED} SELECT bucket, round((b1 - b0) * 100, 5) AS absolute_change_pp, round((b0 - b1) * 100, 5) AS absolute_reduction_pp, round(CASE WHEN b0 <> 0 THEN (b0 - b1) / b0 END, 6) AS relative_reduction FROM cp WHERE b0 IS NOT NULL AND b1 IS NOT NULL")
+@query("A6", f"WITH {_PRED} SELECT bucket, round((b1 - b0) * 100, 5) AS absolute_change_pp, round((b0 - b1) * 100, 5) AS absolute_reduction_pp, round(CASE WHEN b0 <> 0 THEN (b0 - b1) / b0 END, 6) AS relative_reduction FROM cp WHERE b0 IS NOT NULL AND b1 IS NOT NULL")
 def paired_comparison(spark: SparkSession, sf: str) -> DataFrame:
     c = paired.compare(paired.summarize(_predictions(spark, sf)), "B0_MIXTURE", "B1_P2_TARGET")
     return c.select("bucket", F.round("absolute_change_pp", 5).alias("absolute_change_pp"), F.round("absolute_reduction_pp", 5).alias("absolute_reduction_pp"), F.round("relative_reduction", 6).alias("relative_reduction"))
@@ -50,7 +50,7 @@ def acceptance_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return paired.acceptance(c, facts).select("high_overlap_gain", "single_degradation_le_2pp", "extreme_direction_not_reversed", "verdict")
 
 
-@query("A19 J16", """WITH r AS (SELECT o_orderkey % 3 AS seed, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS share FROM orders GROUP BY o_orderkey % 3)
+@query("A19", """WITH r AS (SELECT o_orderkey % 3 AS seed, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS share FROM orders GROUP BY o_orderkey % 3)
 SELECT count(*) FILTER (share > 0.3) AS passed_runs, coalesce(bool_or(share > 0.3) FILTER (seed = 1), false) AS frozen_passed, CASE WHEN count(*) FILTER (share > 0.3) >= 2 AND coalesce(bool_or(share > 0.3) FILTER (seed = 1), false) THEN 'ACCEPT_B1_CANDIDATE' ELSE 'REJECT_B1_CANDIDATE' END AS verdict FROM r""")
 def seed_vote(spark: SparkSession, sf: str) -> DataFrame:
     runs = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 3).alias("seed")).agg((F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)) > 0.3).alias("passed")).withColumn("manifest", F.lit("m"))

@@ -86,7 +86,7 @@ def scenario_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(corpus.scenario_by_position(F.col("o_orderkey"), _CYCLE).alias("scenario")).agg(F.count("*").alias("n"))
 
 
-@query("P6 P7 P8", f"""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN {_CYCLE}[CAST(o_orderkey % 4 AS INTEGER) + 1] END AS scenario, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus <> 'F' END AS present FROM orders)
+@query("P6 P7", f"""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN {_CYCLE}[CAST(o_orderkey % 4 AS INTEGER) + 1] END AS scenario, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus <> 'F' END AS present FROM orders)
 SELECT count(*) FILTER (coalesce(present, true)) AS b1, count(*) FILTER (scenario IS NULL OR scenario IN ('absent', 'enroll_swap_absent')) AS b2, count(*) FILTER (coalesce(NOT present, CASE WHEN scenario IS NOT NULL THEN scenario IN ('absent', 'enroll_swap_absent') END, false)) AS absent FROM s""")
 def scene_filters(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -101,7 +101,7 @@ def scenario_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", corpus.overlap_label(F.col("l_discount") * 10, sir).alias("label"))
 
 
-@query("P11 P3", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
+@query("P11", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
 def usable_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.usable(table(spark, sf, "orders"), "o_custkey", 12)
 
@@ -118,7 +118,7 @@ def determinism_diff(spark: SparkSession, sf: str) -> DataFrame:
     return relational.differences(left, right)
 
 
-@query("U1 U2 U4", "SELECT key, min(ord) AS ord FROM (SELECT o_custkey AS key, o_orderkey AS ord FROM orders UNION ALL SELECT c_custkey, c_custkey + 1000000000 FROM customer) GROUP BY key")
+@query("U1 U4", "SELECT key, min(ord) AS ord FROM (SELECT o_custkey AS key, o_orderkey AS ord FROM orders UNION ALL SELECT c_custkey, c_custkey + 1000000000 FROM customer) GROUP BY key")
 def first_seen(spark: SparkSession, sf: str) -> DataFrame:
     both = table(spark, sf, "orders").selectExpr("o_custkey AS key", "o_orderkey AS ord").unionByName(table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_custkey + 1000000000 AS ord"))
     return both.groupBy("key").agg(F.min("ord").alias("ord"))
@@ -129,7 +129,7 @@ def without_orders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("P16 S14", "SELECT 'p_brand' AS field, count(*) FILTER (p_brand IN (SELECT p_type FROM part)) AS present, count(*) FILTER (p_brand NOT IN (SELECT p_type FROM part)) AS missing FROM part UNION ALL SELECT 'p_type', count(*), 0 FROM part")
+@query("P16", "SELECT 'p_brand' AS field, count(*) FILTER (p_brand IN (SELECT p_type FROM part)) AS present, count(*) FILTER (p_brand NOT IN (SELECT p_type FROM part)) AS missing FROM part UNION ALL SELECT 'p_type', count(*), 0 FROM part")
 def path_readiness(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     return relational.readiness(part, ["p_brand", "p_type"], part.select(F.col("p_type").alias("path"))).select("field", "present", "missing")

@@ -58,7 +58,7 @@ def run_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.groupBy("user_id").agg(F.sum("active").cast("long").alias("active_rows"), F.count("*").alias("rows"))
 
 
-@query("V8 A8 A10", f"""WITH {views.ACTIVITY}, e AS (SELECT user_id, p, least(greatest(p, 1e-8), 1 - 1e-8) AS q FROM act)
+@query("V8", f"""WITH {views.ACTIVITY}, e AS (SELECT user_id, p, least(greatest(p, 1e-8), 1 - 1e-8) AS q FROM act)
 SELECT user_id, round(avg(-(q * ln(q) + (1 - q) * ln(1 - q))), 6) AS entropy, round(median(p) + 1e-9, 6) AS median, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25) + 1e-9, 6) AS iqr, round(min(p), 6) AS least, round(max(p), 6) AS most FROM e GROUP BY user_id""")
 def activity_entropy_profile(spark: SparkSession, sf: str) -> DataFrame:
     q1, q3 = F.percentile("p", F.lit(0.25)), F.percentile("p", F.lit(0.75))
@@ -77,7 +77,7 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(p50 + 1e-9, 6).alias("p50"), F.round(p95 + 1e-9, 6).alias("p95"), F.count("*").alias("n"))
 
 
-@query("W13 W14", f"""WITH {views.ACTIVITY}, f AS (SELECT user_id, t, sum(CASE WHEN p > 0.25 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS m FROM act)
+@query("W13", f"""WITH {views.ACTIVITY}, f AS (SELECT user_id, t, sum(CASE WHEN p > 0.25 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS m FROM act)
 SELECT user_id, t // 2 AS frame, CASE WHEN m > 0.5 THEN 1 ELSE 0 END AS active FROM f WHERE t % 2 = 0""")
 def frame_activity(spark: SparkSession, sf: str) -> DataFrame:
     marked = views.activity(spark, sf).withColumn("mask", (F.col("p") > 0.25).cast("int"))
@@ -116,7 +116,7 @@ def energy_ratio_delta(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf).select("vec_id", F.round(V.energy_ratio(e, r), 6).alias("energy_ratio"), F.round(V.rms(e), 6).alias("rms"), F.round(delta, 6).alias("delta"))
 
 
-@query("V1 V2 V3", f"WITH {views.TRIALS} SELECT vec_id, split, round(sim, 6) AS sim FROM trials")
+@query("V2", f"WITH {views.TRIALS} SELECT vec_id, split, round(sim, 6) AS sim FROM trials")
 def cosine_trials(spark: SparkSession, sf: str) -> DataFrame:
     return views.trials(spark, sf).select("vec_id", "split", F.round("sim", 6).alias("sim"))
 
@@ -126,7 +126,7 @@ def enroll_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.centroids(table(spark, sf, "embeddings"), ["label"], "embedding").select("label", F.posexplode("centroid").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("J15 W10", """WITH p AS (SELECT vec_id, unnest([1, 2, 3]) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT a.vec_id, list_cosine_similarity(a.e[(a.i - 1) * 16 + 1 : a.i * 16], a.e[(j - 1) * 16 + 1 : j * 16]) AS c FROM p a, (SELECT unnest([2, 3, 4]) AS j) WHERE a.i < j)
+@query("J15 W11", """WITH p AS (SELECT vec_id, unnest([1, 2, 3]) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT a.vec_id, list_cosine_similarity(a.e[(a.i - 1) * 16 + 1 : a.i * 16], a.e[(j - 1) * 16 + 1 : j * 16]) AS c FROM p a, (SELECT unnest([2, 3, 4]) AS j) WHERE a.i < j)
 SELECT vec_id, round(median(c), 6) AS consistency, count(*) AS pairs FROM q GROUP BY vec_id""")
 def pairwise_consistency(spark: SparkSession, sf: str) -> DataFrame:
     cut = table(spark, sf, "embeddings").select("vec_id", V.equal_parts(F.col("embedding"), 4).alias("w"))
@@ -158,7 +158,7 @@ def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.round_robin(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 50)
 
 
-@query("W18 W17", "SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
+@query("W17", "SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
 def final_record(spark: SparkSession, sf: str) -> DataFrame:
     last = sequences.last_record(table(spark, sf, "events").select("user_id", "event_id", "event_type"), ["user_id"], F.col("event_id"))
     return last.select("user_id", F.col("event_type").alias("last_type"), F.col("event_id").alias("last_id"))

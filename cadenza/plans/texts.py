@@ -46,10 +46,18 @@ def cer_worst_topk(spark: SparkSession, sf: str) -> DataFrame:
 _NORMAL = "regexp_replace(regexp_replace(regexp_replace(text, '[啊啦吧呢哦哟哈嘛的了]', '', 'g'), '[，。、？！?!,.；;：:\"''‘’（）()\\[\\]【】<>《》~·…—\\-_+=*/|@#$%^&{}]', '', 'g'), '\\s', '', 'g')"
 
 
-@query("F4 F6 F7", f"SELECT conv_id, turn, md5(lower({_NORMAL})) AS normalized, CAST(length({_NORMAL}) AS BIGINT) AS n FROM conversations WHERE NOT regexp_matches(text, '[0-9]')")
+# A number of up to seven digits after each text, read out as F5 has it; runs of digits in the texts themselves go the same way.
+_DIGIT = "['零', '一', '二', '三', '四', '五', '六', '七', '八', '九'][CAST(c AS INTEGER) + 1]"
+_READ = f"""CASE WHEN NOT regexp_matches(t, '^[0-9]') THEN t WHEN length(ltrim(t, '0')) > 5 THEN array_to_string(list_transform(string_split(t, ''), lambda c: {_DIGIT}), '') WHEN length(ltrim(t, '0')) <= 1 THEN ['零', '一', '二', '三', '四', '五', '六', '七', '八', '九'][CAST(right(t, 1) AS INTEGER) + 1]
+  ELSE regexp_replace(regexp_replace(array_to_string(list_transform(string_split(ltrim(t, '0'), ''), lambda c, i: CASE WHEN c = '0' THEN '零' ELSE CASE WHEN c = '1' AND length(ltrim(t, '0')) = 2 AND i = 1 THEN '' ELSE {_DIGIT} END || ['', '十', '百', '千', '万'][length(ltrim(t, '0')) - i + 1] END), ''), '零+', '零', 'g'), '零+$', '') END"""
+_NUMBERED = f"SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text || ' ' || conv_id * 1009, '[0-9]+|[^0-9]+'), lambda t: {_READ}), '') AS text FROM conversations"
+
+
+@query("F4 F6 F7", f"SELECT conv_id, turn, md5(lower({_NORMAL})) AS normalized, CAST(length({_NORMAL}) AS BIGINT) AS n FROM ({_NUMBERED})")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     n = T.normalize(F.col("text"))
-    return table(spark, sf, "conversations").filter(~F.col("text").rlike("[0-9]")).select("conv_id", "turn", F.md5(n).alias("normalized"), F.length(n).cast("long").alias("n"))
+    numbered = F.concat("text", F.lit(" "), (F.col("conv_id") * 1009).cast("string"))
+    return table(spark, sf, "conversations").withColumn("text", numbered).select("conv_id", "turn", F.md5(n).alias("normalized"), F.length(n).cast("long").alias("n"))
 
 
 _ZH = "split('零,一,二,三,四,五,六,七,八,九', ',')"

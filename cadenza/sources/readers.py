@@ -76,6 +76,11 @@ def read_phrases(spark: SparkSession, path: str, field_names: tuple[str, ...] =
     return rows.filter(F.coalesce("phrase", F.lit("")) != "").groupBy("phrase").agg(F.min("ord").alias("ord")).select("ord", "phrase")
 
 
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache of earlier results as Parquet, read by the names and types asked for; columns it lacks are null."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".wav",), *, speaker: str = r"(S\d{4})", keep: Column | None = None) -> DataFrame:
     """(path, speaker, parent, bytes) of files below ``path``; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))

@@ -52,6 +52,21 @@ def missing_files(required: DataFrame, present: DataFrame) -> DataFrame:
     return required.join(got, "path", "left").filter(F.col("_have").isNull() | (F.col("sha256") != F.col("_have"))).select("path", F.when(F.col("_have").isNull(), "missing").otherwise("differs").alias("problem"))
 
 
+def provenance(df: DataFrame, version: str, files: DataFrame) -> DataFrame:
+    """(name, value): VERSION, SCHEMA (one line a field) and FROZEN, the digest over a ledger (path, sha256) in path order.
+    A ledger has a line for each file: the one list that is put together."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws("  ", x["sha256"], x["path"])), "\n")
+    frozen = files.agg(F.sha2(lines, 256).alias("value")).select(F.lit("FROZEN").alias("name"), "value")
+    schema = "\n".join(f"{f.name}: {f.dataType.simpleString()}{'' if f.nullable else ' not null'}" for f in df.schema.fields)
+    told = [F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in (("VERSION", version), ("SCHEMA", schema))]
+    return df.sparkSession.range(1).select(F.explode(F.array(*told)).alias("x")).select("x.*").unionByName(frozen)
+
+
+def write_provenance(notes: DataFrame, path: str) -> None:
+    """One folder of text for each name; fails if the target exists."""
+    notes.coalesce(1).write.mode("errorifexists").partitionBy("name").text(path)
+
+
 def markdown(rows: list[dict], columns: list[str]) -> str:
     """A table from a few collected rows."""
     head = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
