@@ -27,8 +27,10 @@ def summarize(predictions: DataFrame) -> DataFrame:
     """(bucket, condition) sums over rows with columns buckets, condition, s, d, i, n; OVERALL beside the labels; labels
     that start with ``seed:`` do not count."""
     labels = F.filter(F.concat(F.array(F.lit("OVERALL")), "buckets"), lambda b: ~b.startswith("seed:"))
-    rows = predictions.select(F.explode(labels).alias("bucket"), "condition", "s", "d", "i", "n")
-    sums = rows.groupBy("bucket", "condition").agg(F.count("*").alias("samples"), F.sum(F.col("s") + F.col("d") + F.col("i")).alias("errors"), F.sum("n").alias("reference_chars"))
+    # By set of labels first: what is unfolded are the few sets there are, not the rows.
+    sets = predictions.groupBy(labels.alias("labels"), "condition").agg(F.count("*").alias("samples"), F.sum(F.col("s") + F.col("d") + F.col("i")).alias("errors"), F.sum("n").alias("reference_chars"))
+    rows = sets.select(F.explode("labels").alias("bucket"), "condition", "samples", "errors", "reference_chars")
+    sums = rows.groupBy("bucket", "condition").agg(*[F.sum(c).alias(c) for c in ("samples", "errors", "reference_chars")])
     return sums.withColumn("cer", F.try_divide("errors", "reference_chars"))
 
 

@@ -19,16 +19,34 @@ def grid(spark: SparkSession, name: str, values: list[float]) -> DataFrame:
     return spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias(f"{name}_ord", name))
 
 
-def score_histogram(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Rows by distinct score: what every sweep over thresholds needs, whatever the number of rows."""
-    return rows.groupBy(score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+def reached(value: Column, marks: Column) -> Column:
+    """How many of the marks (an array) a value reaches; 0 for null.  Ascending marks up to that place accept it."""
+    return F.size(F.filter(marks, lambda m: m <= value))
+
+
+def exceeded(value: Column, marks: Column) -> Column:
+    """How many of the marks a value lies above; all and one more for null.  Ascending marks after that place admit it."""
+    return F.when(value.isNull(), F.size(marks) + 1).otherwise(F.size(F.filter(marks, lambda m: m < value)))
+
+
+def _marks(table: DataFrame, *names: str) -> DataFrame:
+    """One row: the distinct values of each column of a literal table, ascending, as ``_{name}s``."""
+    return table.agg(*[F.array_sort(F.collect_set(n)).alias(f"_{n}s") for n in names])
+
+
+def _place(name: str) -> Column:
+    return F.array_position(f"_{name}s", F.col(name))
 
 
 def sweep(rows: DataFrame, thresholds: DataFrame, score: str, positive: Column) -> DataFrame:
-    """For each threshold (bounded literal table) FRR, FAR and their parts; accepted is score >= threshold."""
-    hist = score_histogram(rows, score, positive)
-    hit = F.col(score) >= F.col("threshold")
-    got = hist.crossJoin(F.broadcast(thresholds)).groupBy("threshold_ord", "threshold").agg(
+    """For each threshold (bounded literal table) FRR, FAR and their parts; accepted is score >= threshold.
+
+    Rows are first counted by the thresholds that they reach, so that what meets the table is no larger than the table."""
+    marks = F.broadcast(_marks(thresholds, "threshold"))
+    slots = rows.crossJoin(marks).groupBy(reached(F.col(score), F.col("_thresholds")).alias("_slot")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    hit = F.col("_slot") >= F.col("_place")
+    places = thresholds.crossJoin(marks).withColumn("_place", _place("threshold")).drop("_thresholds")
+    got = slots.crossJoin(F.broadcast(places)).groupBy("threshold_ord", "threshold").agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("true_accepts"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("false_accepts")
     )
     return got.withColumns({"frr": 1 - F.col("true_accepts") / F.greatest("positives", F.lit(1)), "far": F.col("false_accepts") / F.greatest("negatives", F.lit(1))})
@@ -37,15 +55,18 @@ def sweep(rows: DataFrame, thresholds: DataFrame, score: str, positive: Column)
 def equal_error_threshold(rows: DataFrame, score: str, positive: Column, step: float = 0.01) -> DataFrame:
     """The first threshold, from the least score in steps, at which false rejects plus false accepts are fewest.
 
-    Candidates follow from one row of facts, so that the search is one pass over scores."""
-    facts = rows.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    n = F.floor((F.col("hi") - F.col("lo")) / step + 1 + 1e-9).cast("int")
-    candidates = facts.select(F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: F.col("lo") + i * step)).alias("ord", "threshold"))
-    hist = score_histogram(rows, score, positive)
-    hit = F.col(score) >= F.col("threshold")
-    wrong = F.sum(F.when(hit, F.col("neg")).otherwise(F.col("pos")))
-    errors = hist.crossJoin(F.broadcast(candidates)).groupBy("ord", "threshold").agg(wrong.alias("errors"))
-    return errors.agg(F.min_by(F.struct("threshold", "errors"), F.struct("errors", "ord")).alias("b")).select(F.round("b.threshold", 3).alias("threshold"), F.col("b.errors").alias("errors"))
+    Rows are counted by their step.  Errors change only after a step that has rows, so candidates are those: no more than
+    there are steps between the least and the largest score, whatever the number of rows.  A null score is never accepted."""
+    facts = rows.agg(F.min(score).alias("_lo"))
+    at = lambda i: F.col("_lo") + i * step
+    near = F.floor((F.col(score) - F.col("_lo")) / step)
+    slot = F.when(at(near + 1) <= F.col(score), near + 1).when(at(near) > F.col(score), near - 1).otherwise(near)
+    slots = rows.crossJoin(F.broadcast(facts)).groupBy("_lo", F.coalesce(slot, F.lit(-1)).alias("_slot")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    start = rows.agg(F.min(score).alias("_lo"), F.lit(-1).cast("bigint").alias("_slot"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"))
+    upto = Window.orderBy("_slot").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.orderBy("_slot").rangeBetween(1, Window.unboundedFollowing)
+    errors = slots.unionByName(start).withColumn("errors", F.sum("pos").over(upto) + F.coalesce(F.sum("neg").over(later), F.lit(0))).withColumn("ord", F.col("_slot") + 1)
+    return errors.agg(F.min_by(F.struct(at(F.col("ord")).alias("threshold"), "errors"), F.struct("errors", "ord")).alias("b")).select(F.round("b.threshold", 3).alias("threshold"), F.col("b.errors").alias("errors"))
 
 
 def best_feasible(table: DataFrame, score: str, feasible: Column, keys: list[Column], order: str) -> DataFrame:
@@ -74,16 +95,20 @@ def evaluate_grid(rows: DataFrame, combos: DataFrame) -> DataFrame:
     """Corpus CER of positives, accept rate, RR and balanced score of every combination.
 
     ``rows``: split (pos/neg), sim, intent_dist, n, and errors of three texts fixed beforehand: raw_err, fixed_err (after
-    phrase correction) and n itself for an empty text.  So a combination is a sum, and rows are first counted by their
-    distinct values."""
-    facts = rows.groupBy("split", "sim", "intent_dist", "n", "raw_err", "fixed_err").agg(F.count("*").alias("k"))
-    accepted = (F.col("sim") >= F.col("sv")) & (F.col("intent").isNull() | (F.col("intent_dist") <= F.col("intent")))
-    fixed = F.col("phrase").isNotNull() & (F.col("intent_dist") <= F.col("phrase"))
+    phrase correction) and n itself for an empty text.  A combination sees of a row only which marks it reaches, so rows are
+    summed by these places first: as many sums as the grid has cells, whatever the number of rows.  Null scores and
+    distances reach nothing."""
+    marks = F.broadcast(_marks(combos, "sv", "phrase", "intent"))
+    places = {"_s": reached(F.col("sim"), F.col("_svs")), "_f": exceeded(F.col("intent_dist"), F.col("_phrases")), "_i": exceeded(F.col("intent_dist"), F.col("_intents"))}
+    facts = rows.crossJoin(marks).groupBy("split", *[c.alias(k) for k, c in places.items()]).agg(F.count("*").alias("k"), *[F.sum(c).alias(c) for c in ("n", "raw_err", "fixed_err")])
+    placed = combos.crossJoin(marks).select(*combos.columns, *[_place(c).alias(f"_{c}") for c in ("sv", "phrase", "intent")])
+    accepted = (F.col("_s") >= F.col("_sv")) & (F.col("intent").isNull() | (F.col("_i") < F.col("_intent")))
+    fixed = F.col("phrase").isNotNull() & (F.col("_f") < F.col("_phrase"))
     err = F.when(~accepted, F.col("n")).when(fixed, F.col("fixed_err")).otherwise(F.col("raw_err"))
     pos, neg = F.col("split") == "pos", F.col("split") == "neg"
     tally = lambda cond, what: F.sum(F.when(cond, what).otherwise(0))
-    got = facts.crossJoin(F.broadcast(combos)).groupBy("combo", "sv", "phrase", "intent").agg(
-        tally(pos, err * F.col("k")).alias("_e"), tally(pos, F.col("n") * F.col("k")).alias("_n"), tally(pos & accepted, F.col("k")).alias("_a"), tally(pos, F.col("k")).alias("_p"), tally(neg & ~accepted, F.col("k")).alias("_r"), tally(neg, F.col("k")).alias("_g")
+    got = facts.crossJoin(F.broadcast(placed)).groupBy("combo", "sv", "phrase", "intent").agg(
+        tally(pos, err).alias("_e"), tally(pos, F.col("n")).alias("_n"), tally(pos & accepted, F.col("k")).alias("_a"), tally(pos, F.col("k")).alias("_p"), tally(neg & ~accepted, F.col("k")).alias("_r"), tally(neg, F.col("k")).alias("_g")
     )
     cer, rr = F.try_divide(F.col("_e"), F.col("_n")), F.col("_r") / F.greatest("_g", F.lit(1))
     return got.select("combo", "sv", "phrase", "intent", cer.alias("pos_corpus_cer"), (F.col("_a") / F.greatest("_p", F.lit(1))).alias("pos_accept_rate"), rr.alias("neg_rr"), ((1 - cer) * rr).alias("balanced_score"))

@@ -99,7 +99,7 @@ def pooled_activity(df: DataFrame, keys: list[str], order: list[str], mask: str,
 def round_robin(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """n rows, taken from the groups in turn."""
     ranked = df.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return ranked.orderBy("_turn", group).limit(n).drop("_turn")
+    return ranked.filter(F.col("_turn") <= n).orderBy("_turn", group).limit(n).drop("_turn")
 
 
 def last_record(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -57,9 +57,10 @@ _RATES = "round(CAST(sum(CASE WHEN split = 'pos' THEN CASE WHEN ok THEN raw_err
 
 @query("D3", f"WITH {_ITEMS}, {_TH}, x AS (SELECT *, sim - 0.7 * intent_dist >= threshold AS ok FROM items, th) SELECT threshold, {_RATES} FROM x GROUP BY threshold")
 def fusion_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _items(spark, sf).withColumn("fused", policy.fusion(F.col("sim"), F.col("intent_dist"))).groupBy("fused", "split").agg(F.sum("n").alias("n"), F.sum("raw_err").alias("e"), F.count("*").alias("k"))
+    place = policy.reached(policy.fusion(F.col("sim"), F.col("intent_dist")), F.array(*map(F.lit, THRESHOLDS)))
+    rows = _items(spark, sf).groupBy(place.alias("place"), "split").agg(F.sum("n").alias("n"), F.sum("raw_err").alias("e"), F.count("*").alias("k"))
     met = rows.crossJoin(F.broadcast(policy.grid(spark, "threshold", THRESHOLDS)))
-    return _rates(met, F.col("fused") >= F.col("threshold"), ["threshold"])
+    return _rates(met, F.col("place") > F.col("threshold_ord"), ["threshold"])
 
 
 def _rates(met: DataFrame, ok, keys: list[str]) -> DataFrame:
@@ -71,9 +72,11 @@ def _rates(met: DataFrame, ok, keys: list[str]) -> DataFrame:
 
 @query("D4", f"WITH {_ITEMS}, x AS (SELECT *, sim >= sv AND intent_dist <= it AS ok FROM items, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS sv), (SELECT unnest([0.3, 0.5, 0.7, 0.9]) AS it)) SELECT sv, it AS intent, {_RATES} FROM x GROUP BY sv, it")
 def policy_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    facts = _items(spark, sf).groupBy("split", "sim", "intent_dist").agg(F.sum("n").alias("n"), F.sum("raw_err").alias("e"), F.count("*").alias("k"))
-    combos = policy.grid(spark, "sv", [i / 10 for i in range(1, 9)]).crossJoin(policy.grid(spark, "intent", [0.3, 0.5, 0.7, 0.9]))
-    return _rates(facts.crossJoin(F.broadcast(combos)), (F.col("sim") >= F.col("sv")) & (F.col("intent_dist") <= F.col("intent")), ["sv", "intent"])
+    sv, intent = [i / 10 for i in range(1, 9)], [0.3, 0.5, 0.7, 0.9]
+    places = policy.reached(F.col("sim"), F.array(*map(F.lit, sv))).alias("s"), policy.exceeded(F.col("intent_dist"), F.array(*map(F.lit, intent))).alias("i")
+    facts = _items(spark, sf).groupBy("split", *places).agg(F.sum("n").alias("n"), F.sum("raw_err").alias("e"), F.count("*").alias("k"))
+    combos = policy.grid(spark, "sv", sv).crossJoin(policy.grid(spark, "intent", intent))
+    return _rates(facts.crossJoin(F.broadcast(combos)), (F.col("s") > F.col("sv_ord")) & (F.col("i") <= F.col("intent_ord")), ["sv", "intent"])
 
 
 SV, PHRASE, INTENT = [round(0.05 * i, 2) for i in range(2, 12)], [0.2, 0.3, 0.4, 0.5, 0.6, 0.7], [0.5, 0.8]

@@ -56,10 +56,11 @@ def aligned(spark: SparkSession, sf: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
     """Labels are speakers: the three first vectors enrol, the others are scored against their own and another speaker."""
-    rows = table(spark, sf, "embeddings").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    heads = table(spark, sf, "embeddings").join(rows.select("vec_id", "rn").filter("rn <= 3"), "vec_id")
-    enrolled = F.broadcast(centroids(heads, ["label"], "embedding"))  # one vector for each of the ten labels
-    rest = rows.filter("rn > 3").select("vec_id", "label", "embedding")
+    vectors = table(spark, sf, "embeddings")
+    ranked = vectors.select("vec_id", "label").withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    first = ranked.filter("rn <= 3").select("vec_id")  # ids only: a limit by group, before any vector moves
+    enrolled = centroids(vectors.join(first, "vec_id", "left_semi"), ["label"], "embedding")
+    rest = vectors.join(first, "vec_id", "left_anti")
     faced = rest.select("*", F.explode(F.array(F.struct(F.lit("pos").alias("split"), F.col("label").alias("against")), F.struct(F.lit("neg").alias("split"), ((F.col("label") + 1) % 10).alias("against")))).alias("f")).select("vec_id", "label", "embedding", "f.*")
     joined = faced.join(enrolled.select(F.col("label").alias("against"), "centroid"), "against")
     return joined.select("vec_id", "label", "split", cosine_or_zero(F.col("embedding"), F.col("centroid")).alias("sim"))

@@ -73,3 +73,27 @@ def test_class_weights_keep_every_label(spark):
     rows = [(i % 100, i) for i in range(300)]
     got = metrics.class_weights(spark.createDataFrame(rows, "label int, i int"), "label").collect()
     assert len(got) == 300 and all(r.weight == pytest.approx(0.5 / 3) for r in got)
+
+
+def test_sweeps_by_place(spark):
+    """Against plain counting, with ties on thresholds, nulls and an empty table."""
+    scores = [(None, True), (0.1, True), (0.2, False), (0.2, True), (0.3, True), (0.3, False), (0.9, False), (0.05, False)]
+    rows = spark.createDataFrame(scores, "s double, pos boolean")
+    marks = [0.3, 0.1, 0.2, 2.0]
+    got = {r.threshold: (r.true_accepts, r.false_accepts) for r in policy.sweep(rows, policy.grid(spark, "threshold", marks), "s", F.col("pos")).collect()}
+    assert got == {m: tuple(sum(s is not None and s >= m and p is want for s, p in scores) for want in (True, False)) for m in marks}
+    assert policy.sweep(rows.filter("s > 5"), policy.grid(spark, "threshold", marks), "s", F.col("pos")).count() == 0
+    for step in (0.01, 0.1, 0.3):
+        tries = [0.05 + i * step for i in range(int(0.85 / step) + 2)]
+        errors = [sum((p and (s is None or s < t)) or (not p and s is not None and s >= t) for s, p in scores) for t in tries]
+        best = policy.equal_error_threshold(rows, "s", F.col("pos"), step).first()
+        assert (best.threshold, best.errors) == (round(tries[errors.index(min(errors))], 3), min(errors))
+
+
+def test_grid_by_place(spark):
+    items = [("pos", 0.2, 0.3, 10, 4, 1), ("pos", 0.1, 0.5, 10, 6, 2), ("neg", 0.3, 0.5, 5, 5, 5), ("neg", 0.1, 0.9, 5, 5, 5), ("pos", None, None, 4, 1, 1)]
+    rows = spark.createDataFrame(items, "split string, sim double, intent_dist double, n long, raw_err long, fixed_err long")
+    for r in policy.evaluate_grid(rows, policy.policy_grid(spark, [0.1, 0.2], [0.3, 0.4], [0.5])).collect():
+        ok = [i[1] is not None and i[1] >= r.sv and (r.intent is None or i[2] <= r.intent) for i in items]
+        err = sum((i[3] if not a else i[5] if r.phrase is not None and i[2] <= r.phrase else i[4]) for i, a in zip(items, ok) if i[0] == "pos")
+        assert r.pos_corpus_cer == err / 24 and r.neg_rr == sum(not a for i, a in zip(items, ok) if i[0] == "neg") / 2
