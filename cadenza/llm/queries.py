@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import scratch, table
-from . import mixing, periods
+from . import mixing, periods, phrases
 
 BPE = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -81,10 +81,11 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op8_subword_sampling, op9_line_dedup, op10_top_k_search, mixing.op11_source_mixing, periods.op12_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_token_counts, op4_sharding, op5_minhash_near_dedup, op6_exact_dedup, op7_best_fit_packing, op8_subword_sampling, op9_line_dedup, op10_top_k_search, mixing.op11_source_mixing, periods.op12_periodic_runs, phrases.op13_phrase_mining)}
 
 ORACLES: dict[str, str] = {
     "op11_source_mixing": mixing.SQL,
+    "op13_phrase_mining": phrases.SQL,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
