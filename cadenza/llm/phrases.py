@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,28 +17,39 @@ from .kernel import bound_batches, tidy
 
 #: Words in a phrase at most.
 LONGEST = 5
-#: Bytes of text that are taken together, and of one text that are split at once.
-PIECE, SEGMENT = 4 << 20, 1 << 20
-#: Occurrences of a prefix from which on its longer prefixes become tasks in its place.
-HEAVY = 1 << 20
-#: Slots of a filter of words or prefixes: one bit each, so 8 MiB whatever the data.
-SLOTS = 1 << 26
-#: Words are told apart by 64 bits; whether that holds is checked, and if not, another salt is taken.
+#: Words are told apart by their numbers; whether that holds is checked, and if not, another salt is taken.
 SALTS = ("", "1", "2", "3")
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What bounds memory: results are the same whatever they are."""
+
+    #: Bytes of text that are taken together, and of one text that are split at once.
+    piece: int = 4 << 20
+    segment: int = 1 << 20
+    #: Occurrences of a prefix from which on its longer prefixes become tasks in its place.
+    heavy: int = 1 << 20
+    #: Slots of a filter of words or prefixes (a multiple of 32768): one bit each, so 8 MiB whatever the data.
+    slots: int = 1 << 26
+    #: Bits in the number of a word.
+    bits: int = 64
+
+
 _U = np.uint64
 #: Ends of pieces, all told by one of them; what separates words; A-Z.
 _ENDS, _BLANK = b".,;:!?\n\x0b\x0c\r", b"\t"
 _PLAIN = bytes.maketrans(_ENDS + _BLANK + bytes(range(65, 91)), b"." * len(_ENDS) + b" " + bytes(range(97, 123)))
 
 
-def tokens(text: str) -> Iterator[tuple[list[bytes], int]]:
+def tokens(text: str, segment: int) -> Iterator[tuple[list[bytes], int]]:
     """A text's words in order, ``.`` between pieces, in parts; and how many of a part's last words begin the next part."""
     raw = text.encode().translate(_PLAIN)
     at, tail = 0, []
     while at < len(raw):
-        cut = raw.find(b" ", at + SEGMENT) if len(raw) - at > SEGMENT else -1
+        cut = raw.find(b" ", at + segment) if len(raw) - at > segment else -1
         cut = cut if cut >= 0 else len(raw)
         part = tail + raw[at:cut].replace(b".", b" . ").split()
         tail = part[1 - LONGEST :] if cut < len(raw) else []
@@ -60,76 +72,78 @@ class Block:
             self.starts[at - again : at] = False
             at += 1
 
-    def hashes(self, seed: int) -> np.ndarray:
+    def numbers(self, seed: int, bits: int) -> np.ndarray:
         """A number for each distinct word, never 0, and then 0 for the end of a piece."""
-        return np.array([xxhash.xxh64_intdigest(w, seed) or 1 for w in self.word] + [0], _U)
+        return np.array([xxhash.xxh64_intdigest(w, seed) >> (64 - bits) or 1 for w in self.word] + [0], _U)
 
 
 def _seed(salt: str, lang: str) -> int:
     return xxhash.xxh64_intdigest((salt + "\0" + lang).encode())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
-    """Texts of a task by language, some ``PIECE`` bytes at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[tuple[str, Block]]:
+    """Texts of a task by language, some ``piece`` bytes at a time."""
     held: dict[str, list[tuple[list[bytes], int]]] = {}
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part, again in tokens(text):
+            for part, again in tokens(text, bounds.segment):
                 held.setdefault(lang, []).append((part, again))
-                size += min(len(text), SEGMENT)
-                if size > PIECE:
+                size += min(len(text), bounds.segment)
+                if size > bounds.piece:
                     yield from ((k, Block(v)) for k, v in held.items())
                     held, size = {}, 0
     yield from ((k, Block(v)) for k, v in held.items())
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
     """The slot of each prefix (a row of word numbers, 0 from its end on)."""
     x = np.zeros(len(keys), _U)
     for i in range(keys.shape[1]):
         x = (x ^ keys[:, i]) * _U(0x9E3779B97F4A7C15 | 1)
         x ^= x >> _U(29)
-    return (x >> _U(17)) % _U(SLOTS)
+    return (x >> _U(17)) % _U(slots)
 
 
-def _bitmap(slots: DataFrame) -> np.ndarray:
+def _bitmap(rows: DataFrame, slots: int) -> np.ndarray:
     """The filter whose bits are set at the slots in column ``slot``: made by the executors, of a fixed size on the driver."""
     place = F.col("slot") + 1  # buckets and positions count from 1
-    parts = slots.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    out = np.zeros(SLOTS // 8, np.uint8)
+    parts = rows.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(slots // 8, np.uint8)
     for b, bits in parts.collect():
         at = (b - 1) * len(bits)
         out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
-def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1 == 1
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a filter has each key."""
+    at = _slot(keys, 8 * len(bits))
+    return (bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _words(texts: DataFrame, salt: str) -> DataFrame:
+def _words(texts: DataFrame, salt: str, bounds: Bounds) -> DataFrame:
     """(lang, word, h, slot, n): how often each language has each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in _blocks(batches):
+        for lang, block in _blocks(batches, bounds):
             n = np.bincount(block.code[block.starts], minlength=len(block.word))
-            h = block.hashes(_seed(salt, lang))[:-1]
+            h = block.numbers(_seed(salt, lang), bounds.bits)[:-1]
             some = np.flatnonzero(n)
             for i in range(0, len(some), 1 << 16):
                 at = some[i : i + (1 << 16)]
-                arrays = [pa.array([lang] * len(at)), pa.array([w.decode() for w in block.word[at]]), pa.array(h[at].view(np.int64)), pa.array(_slot(h[at, None]).astype(np.int64)), pa.array(n[at])]
+                arrays = [pa.array([lang] * len(at)), pa.array([w.decode() for w in block.word[at]]), pa.array(h[at].view(np.int64)), pa.array(_slot(h[at, None], bounds.slots).astype(np.int64)), pa.array(n[at])]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "h", "slot", "n"])
 
     parts = texts.mapInArrow(tidy(run), "lang string, word string, h long, slot long, n long")
     return parts.groupBy("lang", "word", "h", "slot").agg(F.sum("n").alias("n"))
 
 
-def _chains(block: Block, seed: int, frequent: np.ndarray) -> np.ndarray:
+def _chains(block: Block, seed: int, frequent: np.ndarray, bounds: Bounds) -> np.ndarray:
     """For each place at which a counted phrase of frequent words may begin: the numbers of its words and of those after it,
     0 from the first other word, or end of a piece, on."""
-    h = block.hashes(seed)
-    h[:-1][~_has(frequent, _slot(h[:-1, None]))] = 0
+    h = block.numbers(seed, bounds.bits)
+    h[:-1][~_has(frequent, h[:-1, None])] = 0
     at = h[block.code]  # the end of a piece, -1, takes the last
     at = np.concatenate([at, np.zeros(LONGEST, _U)])
     begin = np.flatnonzero(block.starts & (at[: len(block.code)] != 0) & (at[1 : len(block.code) + 1] != 0))
@@ -144,7 +158,7 @@ def _depth(rows: np.ndarray, heavy: list[np.ndarray]) -> np.ndarray:
     depth = np.ones(len(rows), np.int64)
     open_ = np.ones(len(rows), bool)
     for i, bits in enumerate(heavy):
-        open_ &= _has(bits, _slot(rows[:, : i + 1]))
+        open_ &= _has(bits, rows[:, : i + 1])
         depth[open_] = i + 2
     return depth
 
@@ -156,31 +170,31 @@ def _sorted_groups(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return rows, np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
 
 
-def _longer(texts: DataFrame, salt: str, frequent, heavy: list) -> DataFrame:
+def _longer(texts: DataFrame, salt: str, frequent, heavy: list, bounds: Bounds) -> DataFrame:
     """(w1, ..., slot, n) of the phrases of one word more than the longest heavy prefixes that begin with one of these."""
     width = len(heavy) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in _blocks(batches):
-            rows = _chains(block, _seed(salt, lang), frequent.value)
+        for lang, block in _blocks(batches, bounds):
+            rows = _chains(block, _seed(salt, lang), frequent.value, bounds)
             rows = rows[(_depth(rows, [b.value for b in heavy]) == width) & (rows[:, width - 1] != 0)]
             if len(rows):
                 rows, at = _sorted_groups(rows, width)
                 keys = rows[at[:-1]]
                 keys[:, width:] = 0
-                arrays = [*[pa.array(keys[:, i].view(np.int64)) for i in range(LONGEST)], pa.array(_slot(keys[:, :width]).astype(np.int64)), pa.array(np.diff(at))]
+                arrays = [*[pa.array(keys[:, i].view(np.int64)) for i in range(LONGEST)], pa.array(_slot(keys[:, :width], bounds.slots).astype(np.int64)), pa.array(np.diff(at))]
                 yield pa.RecordBatch.from_arrays(arrays, [*WORDS, "slot", "n"])
 
     parts = texts.mapInArrow(tidy(run), ", ".join(f"{w} long" for w in WORDS) + ", slot long, n long")
     return parts.groupBy(*WORDS, "slot").agg(F.sum("n").alias("n"))
 
 
-def _projected(texts: DataFrame, salt: str, frequent, heavy: list) -> DataFrame:
+def _projected(texts: DataFrame, salt: str, frequent, heavy: list, bounds: Bounds) -> DataFrame:
     """(w1, ..., after): the occurrences of each light prefix in some texts, as the words after each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in _blocks(batches):
-            rows = _chains(block, _seed(salt, lang), frequent.value)
+        for lang, block in _blocks(batches, bounds):
+            rows = _chains(block, _seed(salt, lang), frequent.value, bounds)
             depth = _depth(rows, [b.value for b in heavy])
             for width in range(1, min(len(heavy) + 1, LONGEST - 1) + 1):
                 own = rows[(depth == width) & (rows[:, width] != 0)]
@@ -212,34 +226,34 @@ def _grow(prefix: tuple[int, ...], after: np.ndarray, least: int, out: list[tupl
         _grow(longer, after[at[i] : at[i + 1], 1:], least, out)
 
 
-def frequent_phrases(texts: DataFrame, least: int, heavy_from: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(texts: DataFrame, least: int, bounds: Bounds = Bounds()) -> tuple[DataFrame, DataFrame]:
     """Words by language (lang, word, h, n), and all phrases of up to ``LONGEST`` words, single ones too, that occur at least
     ``least`` times, as the numbers of their words: (w1, ..., f).  ``texts`` has lang and text, without nulls.
 
     Each occurrence of a frequent word, with the frequent words that follow it, is dealt to the task of its prefix, which grows
-    phrases rightwards.  A prefix of more than ``heavy_from`` occurrences is no task: its extensions by a word are
+    phrases rightwards.  A prefix of more than ``bounds.heavy`` occurrences is no task: its extensions by a word are
     counted (summed within tasks before they are shuffled) and become prefixes in its place, and so on.  What tells tasks of
     texts which words are frequent and which prefixes heavy are filters of a fixed size; a false hit costs time only.
     """
     spark = texts.sparkSession
     bound_batches(spark)
     for salt in SALTS:
-        words = materialize(_words(texts, salt), "phrase-words")
+        words = materialize(_words(texts, salt, bounds), "phrase-words")
         mixed = words.groupBy("h").agg(F.count("*").alias("words"), F.max("n").alias("n")).filter(f"words > 1 AND n >= {least}")
         if mixed.isEmpty():
             break
     else:
         raise RuntimeError("words can't be told apart by their numbers")
-    frequent = spark.sparkContext.broadcast(_bitmap(words.filter(F.col("n") >= least)))
+    frequent = spark.sparkContext.broadcast(_bitmap(words.filter(F.col("n") >= least), bounds.slots))
     none = [F.lit(0).cast("long").alias(w) for w in WORDS[1:]]
     known = [words.select(F.col("h").alias("w1"), *none, "slot", "n")]
     heavy = []
     while len(heavy) < LONGEST - 1:
-        large = known[-1].filter(F.col("n") > heavy_from)
+        large = known[-1].filter(F.col("n") > bounds.heavy)
         if large.isEmpty():
             break
-        heavy.append(spark.sparkContext.broadcast(_bitmap(large)))
-        known.append(materialize(_longer(texts, salt, frequent, heavy), "phrase-longer"))
+        heavy.append(spark.sparkContext.broadcast(_bitmap(large, bounds.slots)))
+        known.append(materialize(_longer(texts, salt, frequent, heavy, bounds), "phrase-longer"))
 
     def mine(group: pa.Table) -> pa.Table:
         prefix = tuple(x for x in (group.column(w)[0].as_py() & (1 << 64) - 1 for w in WORDS) if x)
@@ -251,7 +265,7 @@ def frequent_phrases(texts: DataFrame, least: int, heavy_from: int = HEAVY) -> t
             keys[i, : len(phrase)] = phrase
         return pa.table([*[pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in range(LONGEST)], pa.array([n for _, n in out], pa.int64())], [*WORDS, "f"])
 
-    found = _projected(texts, salt, frequent, heavy).groupBy(*WORDS).applyInArrow(mine, ", ".join(f"{w} long" for w in WORDS) + ", f long")
+    found = _projected(texts, salt, frequent, heavy, bounds).groupBy(*WORDS).applyInArrow(mine, ", ".join(f"{w} long" for w in WORDS) + ", f long")
     for k in known:
         found = found.unionByName(k.filter(F.col("n") >= least).select(*WORDS, F.col("n").alias("f")))
     return words, materialize(found, "phrase-frequent")
@@ -270,7 +284,7 @@ def score(a, n, lr_left, lr_right):
     return F.call_function("div", times, (wide(lr_left) * wide(lr_right)).cast("decimal(38,0)"))
 
 
-def collocations(docs: DataFrame, *, least: int = 100, best: int = 2000, text_col: str = "text", lang_col: str = "lang", heavy_from: int = HEAVY) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, best: int = 2000, text_col: str = "text", lang_col: str = "lang", bounds: Bounds = Bounds()) -> DataFrame:
     """Each language's best phrases of 2 to 5 words by their weakest cut: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z) and split at ``.,;:!?`` and ends of lines; a phrase lies within a piece.  ``a``, ``l`` and
@@ -282,7 +296,7 @@ def collocations(docs: DataFrame, *, least: int = 100, best: int = 2000, text_co
     whatever their names; an empty table, or one without frequent phrases, gives an empty result.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words, found = frequent_phrases(texts, least, heavy_from)
+    words, found = frequent_phrases(texts, least, bounds)
     many = found.filter("w2 <> 0").withColumnRenamed("f", "a")
 
     # A phrase within one that is as frequent lies within one of a word more that is.
