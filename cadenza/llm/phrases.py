@@ -6,14 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import materialize, table
-from .kernel import bound_batches, tidy
+from .kernel import _U, BYTE_VALUE, bound_batches, mix, powers, tidy
 
 #: Words in a phrase at most.
 LONGEST = 5
@@ -22,59 +21,73 @@ SALTS = ("", "1", "2", "3")
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
-
 @dataclass(frozen=True)
 class Bounds:
     """What bounds memory: results are the same whatever they are."""
 
-    #: Bytes of text that are taken together, and of one text that are split at once.
+    #: Bytes of text of a language that are taken together, of all languages that wait, and of one text that are split at once.
     piece: int = 4 << 20
+    wait: int = 24 << 20
     segment: int = 1 << 20
-    #: Occurrences of a prefix from which on its longer prefixes become tasks in its place.
+    #: Occurrences of a prefix from which on its longer prefixes become tasks in its place, and of all prefixes of a task.
     heavy: int = 1 << 20
-    #: Slots of a filter of words or prefixes (a multiple of 32768): one bit each, so 8 MiB whatever the data.
+    #: Slots of a filter of words or phrases (a multiple of 32768): one bit each, so 8 MiB whatever the data.
     slots: int = 1 << 26
     #: Bits in the number of a word.
     bits: int = 64
 
 
-_U = np.uint64
 #: Ends of pieces, all told by one of them; what separates words; A-Z.
 _ENDS, _BLANK = b".,;:!?\n\x0b\x0c\r", b"\t"
 _PLAIN = bytes.maketrans(_ENDS + _BLANK + bytes(range(65, 91)), b"." * len(_ENDS) + b" " + bytes(range(97, 123)))
 
 
-def tokens(text: str, segment: int) -> Iterator[tuple[list[bytes], int]]:
-    """A text's words in order, ``.`` between pieces, in parts; and how many of a part's last words begin the next part."""
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    solid = ((raw != 32) & (raw != 46)).view(np.int8)
+    edge = np.flatnonzero(np.diff(solid, prepend=np.int8(0), append=np.int8(0)))
+    return edge[::2], edge[1::2]
+
+
+def parts(text: str, segment: int) -> Iterator[tuple[bytes, int]]:
+    """A plain text in parts, and how many of a part's last words the next part begins with."""
     raw = text.encode().translate(_PLAIN)
-    at, tail = 0, []
-    while at < len(raw):
-        cut = raw.find(b" ", at + segment) if len(raw) - at > segment else -1
-        cut = cut if cut >= 0 else len(raw)
-        part = tail + raw[at:cut].replace(b".", b" . ").split()
-        tail = part[1 - LONGEST :] if cut < len(raw) else []
-        yield part, len(tail)
-        at = cut
+    at = seen = 0
+    while len(raw) - seen > segment:
+        cut = raw.find(b" ", seen + segment)
+        if cut < 0:
+            break
+        begin, _ = _edges(np.frombuffer(raw[at:cut], np.uint8))
+        again = min(LONGEST - 1, len(begin))
+        yield raw[at:cut], again
+        at, seen = (at + int(begin[-again]) if again else cut), cut
+    yield raw[at:] if at else raw, 0
 
 
 class Block:
-    """Parts of texts of one language: ``word`` (distinct ones), ``code`` (of each place, -1 at the end of a piece) and ``starts``
-    (whether phrases that begin there are counted here; those at a part's last words are in the next part)."""
-
-    def __init__(self, parts: list[tuple[list[bytes], int]]):
-        flat = [w for part, _ in parts for w in [*part, b"."]]
-        code, self.word = pd.factorize(np.array(flat, dtype=object))
-        self.code = np.where(self.word[code] == b".", -1, code)
-        self.starts = self.code >= 0
-        at = 0
-        for part, again in parts:
-            at += len(part)
+    """The words of several texts of one language.
+
+    ``begin`` and ``end`` in ``raw``; ``linked``: the next word is in the same piece; ``starts``: phrases that begin there are
+    counted here (those at a part's last words are in the next part)."""
+
+    def __init__(self, held: list[tuple[bytes, int]]):
+        self.raw = np.frombuffer(b".".join(p for p, _ in held), np.uint8)
+        n = len(self.raw)
+        self.begin, self.end = _edges(self.raw)
+        p, inverse = powers(n + 1)
+        total = np.zeros(n + 1, _U)
+        np.cumsum(BYTE_VALUE[self.raw] * p[:n], out=total[1:])
+        self.hash = (total[self.end] - total[self.begin]) * inverse[self.begin]
+        piece = np.cumsum(self.raw == 46, dtype=np.int32)[self.begin]
+        self.linked = np.append(piece[1:] == piece[:-1], False)[: len(piece)]
+        self.starts = np.ones(len(piece), bool)
+        last = np.searchsorted(self.begin, np.cumsum([len(p) + 1 for p, _ in held]))
+        for at, (_, again) in zip(last, held, strict=True):
             self.starts[at - again : at] = False
-            at += 1
 
     def numbers(self, seed: int, bits: int) -> np.ndarray:
-        """A number for each distinct word, never 0, and then 0 for the end of a piece."""
-        return np.array([xxhash.xxh64_intdigest(w, seed) >> (64 - bits) or 1 for w in self.word] + [0], _U)
+        """A number for each word, never 0."""
+        return np.maximum(mix(self.hash ^ _U(seed)) >> _U(64 - bits), _U(1))
 
 
 def _seed(salt: str, lang: str) -> int:
@@ -83,16 +96,16 @@ def _seed(salt: str, lang: str) -> int:
 
 def _blocks(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[tuple[str, Block]]:
     """Texts of a task by language, some ``piece`` bytes at a time."""
-    held: dict[str, list[tuple[list[bytes], int]]] = {}
-    size = 0
+    held: dict[str, list[tuple[bytes, int]]] = {}
+    size: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part, again in tokens(text, bounds.segment):
-                held.setdefault(lang, []).append((part, again))
-                size += min(len(text), bounds.segment)
-                if size > bounds.piece:
-                    yield from ((k, Block(v)) for k, v in held.items())
-                    held, size = {}, 0
+            for part in parts(text, bounds.segment):
+                held.setdefault(lang, []).append(part)
+                size[lang] = size.get(lang, 0) + len(part[0]) + 1
+                for k in list(size) if sum(size.values()) > bounds.wait else [lang] if size[lang] > bounds.piece else []:
+                    del size[k]
+                    yield k, Block(held.pop(k))
     yield from ((k, Block(v)) for k, v in held.items())
 
 
@@ -100,19 +113,18 @@ def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
     """The slot of each prefix (a row of word numbers, 0 from its end on)."""
     x = np.zeros(len(keys), _U)
     for i in range(keys.shape[1]):
-        x = (x ^ keys[:, i]) * _U(0x9E3779B97F4A7C15 | 1)
-        x ^= x >> _U(29)
-    return (x >> _U(17)) % _U(slots)
+        x = mix(x ^ keys[:, i])
+    return x % _U(slots)
 
 
 def _bitmap(rows: DataFrame, slots: int) -> np.ndarray:
     """The filter whose bits are set at the slots in column ``slot``: made by the executors, of a fixed size on the driver."""
     place = F.col("slot") + 1  # buckets and positions count from 1
-    parts = rows.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = rows.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(slots // 8, np.uint8)
-    for b, bits in parts.collect():
-        at = (b - 1) * len(bits)
-        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    for b, part in bits.collect():
+        at = (b - 1) * len(part)
+        out[at : at + len(part)] = np.frombuffer(part, np.uint8)
     return out
 
 
@@ -127,148 +139,216 @@ def _words(texts: DataFrame, salt: str, bounds: Bounds) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches, bounds):
-            n = np.bincount(block.code[block.starts], minlength=len(block.word))
-            h = block.numbers(_seed(salt, lang), bounds.bits)[:-1]
-            some = np.flatnonzero(n)
-            for i in range(0, len(some), 1 << 16):
-                at = some[i : i + (1 << 16)]
-                arrays = [pa.array([lang] * len(at)), pa.array([w.decode() for w in block.word[at]]), pa.array(h[at].view(np.int64)), pa.array(_slot(h[at, None], bounds.slots).astype(np.int64)), pa.array(n[at])]
+            h, raw = block.numbers(_seed(salt, lang), bounds.bits), block.raw.tobytes()
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            like, length = first[which], block.end - block.begin
+            # Words of a number are held against the first of them, byte by byte; another word gets a row of its own.
+            same = length == length[like]
+            step = np.arange(length[same].sum()) - np.repeat(np.cumsum(length[same]) - length[same], length[same])
+            alike = block.raw[np.repeat(block.begin[same], length[same]) + step] == block.raw[np.repeat(block.begin[like[same]], length[same]) + step]
+            if len(alike):
+                same[same] = np.logical_and.reduceat(alike, np.cumsum(length[same]) - length[same])
+            n = np.bincount(which[same & block.starts], minlength=len(first))
+            at = np.concatenate([first[n > 0], np.flatnonzero(~same & block.starts)])
+            n = np.concatenate([n[n > 0], np.ones(len(at) - (n > 0).sum(), np.int64)])
+            for i in range(0, len(at), 1 << 16):
+                a = at[i : i + (1 << 16)]
+                word = [raw[x:y].decode() for x, y in zip(block.begin[a].tolist(), block.end[a].tolist(), strict=True)]
+                arrays = [pa.array([lang] * len(a)), pa.array(word, pa.string()), pa.array(h[a].view(np.int64)), pa.array(_slot(h[a, None], bounds.slots).astype(np.int64)), pa.array(n[i : i + (1 << 16)])]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "h", "slot", "n"])
 
-    parts = texts.mapInArrow(tidy(run), "lang string, word string, h long, slot long, n long")
-    return parts.groupBy("lang", "word", "h", "slot").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(tidy(run), "lang string, word string, h long, slot long, n long")
+    return counted.groupBy("lang", "word", "h", "slot").agg(F.sum("n").alias("n"))
+
+
+def _summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, with their sums."""
+    if not len(rows):
+        return rows, n
+    order = np.lexsort(rows.T[::-1])
+    rows, n = rows[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
+    return rows[new], np.add.reduceat(n, new)
+
+
+def _dealt(rows: np.ndarray, n: np.ndarray, depth: np.ndarray, key: np.ndarray, tasks: int) -> Iterator[pa.RecordBatch]:
+    """Rows, packed by task: (task, rows, n, depth), the last three as bytes."""
+    task = _slot(key, tasks).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    rows, n, depth, task = np.ascontiguousarray(rows[order]), n[order].astype(np.uint32), depth[order].astype(np.uint8), task[order]
+    at = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]]) if len(task) else np.zeros(1, np.int64)
+
+    def packed(x: np.ndarray) -> pa.Array:
+        size = x.nbytes // max(1, len(x))
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(x)])
+
+    whole = pa.RecordBatch.from_arrays([pa.array(task[at[:-1]]), packed(rows), packed(n), packed(depth)], _DEALT)
+    for i in range(0, len(whole), 256):
+        yield whole.slice(i, 256)
+
+
+_DEALT = ["task", "rows", "n", "depth"]
+_DEALT_TYPE = "task long, rows binary, n binary, depth binary"
+_FOUND = ", ".join(f"{w} long" for w in WORDS) + ", slot long, n long"
 
 
-def _chains(block: Block, seed: int, frequent: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """For each place at which a counted phrase of frequent words may begin: the numbers of its words and of those after it,
-    0 from the first other word, or end of a piece, on."""
+def _unpacked(group: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bytes_of = lambda c: b"".join(group.column(c).to_pylist())
+    return np.frombuffer(bytes_of("rows"), _U).reshape(-1, width), np.frombuffer(bytes_of("n"), np.uint32).astype(np.int64), np.frombuffer(bytes_of("depth"), np.uint8)
+
+
+def _found(rows: np.ndarray, n: np.ndarray, bounds: Bounds) -> pa.RecordBatch:
+    """Phrases (0 from their end on) as a batch of w1, ..., slot, n."""
+    full = np.zeros((len(rows), LONGEST), _U)
+    full[:, : rows.shape[1]] = rows
+    return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(full[:, i]).view(np.int64)) for i in range(LONGEST)], pa.array(_slot(rows, bounds.slots).astype(np.int64)), pa.array(n)], [*WORDS, "slot", "n"])
+
+
+def _frequent_words(block: Block, seed: int, frequent: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """Numbers of the words, 0 for those that the filter lacks, and zeros beyond the last."""
     h = block.numbers(seed, bounds.bits)
-    h[:-1][~_has(frequent, h[:-1, None])] = 0
-    at = h[block.code]  # the end of a piece, -1, takes the last
-    at = np.concatenate([at, np.zeros(LONGEST, _U)])
-    begin = np.flatnonzero(block.starts & (at[: len(block.code)] != 0) & (at[1 : len(block.code) + 1] != 0))
-    rows = np.stack([at[begin + i] for i in range(LONGEST)], 1)
-    for i in range(2, LONGEST):
-        rows[:, i][rows[:, i - 1] == 0] = 0
+    h[~_has(frequent, h[:, None])] = 0
+    return np.concatenate([h, np.zeros(LONGEST, _U)])
+
+
+def _pairs(texts: DataFrame, salt: str, least: int, frequent, heavy, tasks: int, bounds: Bounds) -> DataFrame:
+    """(w1, w2, ..., slot, n) of all frequent phrases of two words.
+
+    Each word's task gets the words that follow it; a heavy word's followers are dealt to many tasks, each follower to one."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, block in _blocks(batches, bounds):
+            h = _frequent_words(block, _seed(salt, lang), frequent.value, bounds)
+            i = np.flatnonzero(block.starts & block.linked & (h[: len(block.linked)] != 0) & (h[1 : len(block.linked) + 1] != 0))
+            rows, n = _summed(np.stack([h[i], h[i + 1]], 1), np.ones(len(i), np.int64))
+            key = rows.copy()
+            key[~_has(heavy.value, rows[:, :1]), 1] = 0
+            yield from _dealt(rows, n, np.ones(len(rows)), key, tasks)
+
+    def count(group: pa.Table) -> pa.Table:
+        rows, n, _ = _unpacked(group, 2)
+        rows, n = _summed(rows, n)
+        return pa.Table.from_batches([_found(rows[n >= least], n[n >= least], bounds)])
+
+    return texts.mapInArrow(tidy(project), _DEALT_TYPE).groupBy("task").applyInArrow(count, _FOUND)
+
+
+def _chains(block: Block, seed: int, frequent: np.ndarray, pairs: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """For each place at which a counted phrase of three words may begin: the numbers of its words and of those after it, 0
+    from the first on that isn't in a frequent pair with the one before."""
+    h = _frequent_words(block, seed, frequent, bounds)
+    size = len(block.linked)
+    ok = np.zeros(size + LONGEST, bool)
+    ok[:size] = block.linked & (h[:size] != 0) & (h[1 : size + 1] != 0)
+    i = np.flatnonzero(ok)
+    ok[i] = _has(pairs, np.stack([h[i], h[i + 1]], 1))
+    i = np.flatnonzero(block.starts & ok[:size] & ok[1 : size + 1])
+    rows = np.stack([h[i + j] for j in range(LONGEST)], 1)
+    for j in range(2, LONGEST):
+        rows[~ok[i + j - 1] | (rows[:, j - 1] == 0), j] = 0
     return rows
 
 
 def _depth(rows: np.ndarray, heavy: list[np.ndarray]) -> np.ndarray:
-    """The length of each row's shortest prefix that is not heavy."""
-    depth = np.ones(len(rows), np.int64)
-    open_ = np.ones(len(rows), bool)
-    for i, bits in enumerate(heavy):
-        open_ &= _has(bits, rows[:, : i + 1])
-        depth[open_] = i + 2
+    """The length of each row's shortest prefix, of two words at least, that isn't heavy."""
+    depth = np.full(len(rows), 2, np.int64)
+    still = np.ones(len(rows), bool)
+    for width, bits in enumerate(heavy, 2):
+        still &= _has(bits, rows[:, :width])
+        depth[still] = width + 1
     return depth
 
 
-def _sorted_groups(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by their first columns, and where each group begins (and the last ends)."""
-    rows = rows[np.lexsort(rows[:, :width].T[::-1])]
-    new = (rows[1:, :width] != rows[:-1, :width]).any(1)
-    return rows, np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows)]])
-
-
-def _longer(texts: DataFrame, salt: str, frequent, heavy: list, bounds: Bounds) -> DataFrame:
+def _longer(texts: DataFrame, salt: str, frequent, pairs, heavy: list, bounds: Bounds) -> DataFrame:
     """(w1, ..., slot, n) of the phrases of one word more than the longest heavy prefixes that begin with one of these."""
-    width = len(heavy) + 1
+    width = len(heavy) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches, bounds):
-            rows = _chains(block, _seed(salt, lang), frequent.value, bounds)
-            rows = rows[(_depth(rows, [b.value for b in heavy]) == width) & (rows[:, width - 1] != 0)]
-            if len(rows):
-                rows, at = _sorted_groups(rows, width)
-                keys = rows[at[:-1]]
-                keys[:, width:] = 0
-                arrays = [*[pa.array(keys[:, i].view(np.int64)) for i in range(LONGEST)], pa.array(_slot(keys[:, :width], bounds.slots).astype(np.int64)), pa.array(np.diff(at))]
-                yield pa.RecordBatch.from_arrays(arrays, [*WORDS, "slot", "n"])
+            rows = _chains(block, _seed(salt, lang), frequent.value, pairs.value, bounds)
+            rows = rows[(_depth(rows, [b.value for b in heavy]) == width) & (rows[:, width - 1] != 0), :width]
+            yield _found(*_summed(rows, np.ones(len(rows), np.int64)), bounds)
 
-    parts = texts.mapInArrow(tidy(run), ", ".join(f"{w} long" for w in WORDS) + ", slot long, n long")
-    return parts.groupBy(*WORDS, "slot").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), _FOUND).groupBy(*WORDS, "slot").agg(F.sum("n").alias("n"))
 
 
-def _projected(texts: DataFrame, salt: str, frequent, heavy: list, bounds: Bounds) -> DataFrame:
-    """(w1, ..., after): the occurrences of each light prefix in some texts, as the words after each."""
+def _grow(prefix: tuple[int, ...], after: np.ndarray, n: np.ndarray, least: int, out: list[tuple[tuple[int, ...], int]]) -> None:
+    """All frequent phrases that go on from a prefix, depth first.  ``after``: distinct rows of what follows it, in order,
+    0 from the end on; ``n``: how often each does."""
+    if not after.shape[1] or n.sum() < least:
+        return
+    at = np.concatenate([[0], np.flatnonzero(after[1:, 0] != after[:-1, 0]) + 1, [len(after)]])
+    sums = np.add.reduceat(n, at[:-1])
+    for i in np.flatnonzero((sums >= least) & (after[at[:-1], 0] != 0)).tolist():
+        longer = (*prefix, int(after[at[i], 0]))
+        out.append((longer, int(sums[i])))
+        _grow(longer, after[at[i] : at[i + 1], 1:], n[at[i] : at[i + 1]], least, out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _grown(texts: DataFrame, salt: str, least: int, frequent, pairs, heavy: list, tasks: int, bounds: Bounds) -> DataFrame:
+    """(w1, ..., slot, n) of the frequent phrases that go on from light prefixes: each prefix, with what follows each of its
+    occurrences, is grown in one task."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches, bounds):
-            rows = _chains(block, _seed(salt, lang), frequent.value, bounds)
+            rows, n = _summed(rows := _chains(block, _seed(salt, lang), frequent.value, pairs.value, bounds), np.ones(len(rows), np.int64))
             depth = _depth(rows, [b.value for b in heavy])
-            for width in range(1, min(len(heavy) + 1, LONGEST - 1) + 1):
-                own = rows[(depth == width) & (rows[:, width] != 0)]
-                if not len(own):
-                    continue
-                own, at = _sorted_groups(own, width)
-                keys = own[at[:-1]]
-                keys[:, width:] = 0
-                after = np.ascontiguousarray(own[:, width:])
-                offsets = pa.py_buffer((at * after.shape[1] * 8).astype(np.int32))
-                blobs = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(after)])
-                whole = pa.RecordBatch.from_arrays([*[pa.array(keys[:, i].view(np.int64)) for i in range(LONGEST)], blobs], [*WORDS, "after"])
-                for i in range(0, len(whole), 4096):
-                    yield whole.slice(i, 4096)
-
-    return texts.mapInArrow(tidy(run), ", ".join(f"{w} long" for w in WORDS) + ", after binary")
-
-
-def _grow(prefix: tuple[int, ...], after: np.ndarray, least: int, out: list[tuple[tuple[int, ...], int]]) -> None:
-    """All frequent phrases that go on from a prefix, given what follows each of its occurrences, depth first."""
-    if len(after) < least or not after.shape[1]:
-        return
-    after = after[after[:, 0] != 0]
-    after = after[np.argsort(after[:, 0])]
-    at = np.concatenate([[0], np.flatnonzero(after[1:, 0] != after[:-1, 0]) + 1, [len(after)]]) if len(after) else np.zeros(1, np.int64)
-    for i in np.flatnonzero(np.diff(at) >= least).tolist():
-        longer = (*prefix, int(after[at[i], 0]))
-        out.append((longer, int(at[i + 1] - at[i])))
-        _grow(longer, after[at[i] : at[i + 1], 1:], least, out)
+            some = depth < LONGEST
+            rows, n, depth = rows[some], n[some], depth[some]
+            some = rows[np.arange(len(rows)), depth] != 0
+            rows, n, depth = rows[some], n[some], depth[some]
+            key = np.where(np.arange(LONGEST) < depth[:, None], rows, _U(0))
+            yield from _dealt(rows, n, depth, key, tasks)
+
+    def mine(group: pa.Table) -> pa.Table:
+        rows, n, depth = _unpacked(group, LONGEST)
+        out: list[tuple[tuple[int, ...], int]] = []
+        for width in np.unique(depth).tolist():
+            own, times = _summed(rows[depth == width], n[depth == width])
+            at = np.concatenate([[0], np.flatnonzero((own[1:, :width] != own[:-1, :width]).any(1)) + 1, [len(own)]])
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                _grow(tuple(own[i, :width].tolist()), own[i:j, width:], times[i:j], least, out)
+        keys = np.zeros((len(out), LONGEST), _U)
+        for i, (phrase, _) in enumerate(out):
+            keys[i, : len(phrase)] = phrase
+        return pa.Table.from_batches([_found(keys, np.array([x for _, x in out], np.int64), bounds)])
+
+    return texts.mapInArrow(tidy(project), _DEALT_TYPE).groupBy("task").applyInArrow(mine, _FOUND)
 
 
 def frequent_phrases(texts: DataFrame, least: int, bounds: Bounds = Bounds()) -> tuple[DataFrame, DataFrame]:
     """Words by language (lang, word, h, n), and all phrases of up to ``LONGEST`` words, single ones too, that occur at least
     ``least`` times, as the numbers of their words: (w1, ..., f).  ``texts`` has lang and text, without nulls.
 
-    Each occurrence of a frequent word, with the frequent words that follow it, is dealt to the task of its prefix, which grows
-    phrases rightwards.  A prefix of more than ``bounds.heavy`` occurrences is no task: its extensions by a word are
-    counted (summed within tasks before they are shuffled) and become prefixes in its place, and so on.  What tells tasks of
-    texts which words are frequent and which prefixes heavy are filters of a fixed size; a false hit costs time only.
+    Occurrences are projected twice: of frequent words, with the word that follows, and of frequent pairs, with what follows as
+    far as its words are frequent pairs too.  Either time those of a prefix go to one task, which grows phrases rightwards; equal
+    ones of a block of text travel as one.  A prefix of more than ``bounds.heavy`` occurrences is no task: its extensions by
+    a word are counted apart and become prefixes in its place.  What tells tasks of texts which words and pairs are
+    frequent, and which prefixes heavy, are filters of a fixed size; a false hit costs time only.
     """
     spark = texts.sparkSession
     bound_batches(spark)
+    shared = lambda rows: spark.sparkContext.broadcast(_bitmap(rows, bounds.slots))
+    often, large = F.col("n") >= least, F.col("n") > bounds.heavy
+    tasks = lambda rows: int(rows.filter(often).agg(F.sum("n")).first()[0] or 0) // max(1, bounds.heavy // 4) + 1
     for salt in SALTS:
         words = materialize(_words(texts, salt, bounds), "phrase-words")
-        mixed = words.groupBy("h").agg(F.count("*").alias("words"), F.max("n").alias("n")).filter(f"words > 1 AND n >= {least}")
+        mixed = words.groupBy("h").agg(F.count("*").alias("words"), F.max("n").alias("n")).filter(often & (F.col("words") > 1))
         if mixed.isEmpty():
             break
     else:
         raise RuntimeError("words can't be told apart by their numbers")
-    frequent = spark.sparkContext.broadcast(_bitmap(words.filter(F.col("n") >= least), bounds.slots))
+    frequent = shared(words.filter(often))
+    known = [materialize(_pairs(texts, salt, least, frequent, shared(words.filter(large)), tasks(words), bounds), "phrase-pairs")]
+    pairs, heavy = shared(known[0]), []
+    while len(heavy) < LONGEST - 2 and not known[-1].filter(large).isEmpty():
+        heavy.append(shared(known[-1].filter(large)))
+        known.append(materialize(_longer(texts, salt, frequent, pairs, heavy, bounds), "phrase-longer"))
+    found = _grown(texts, salt, least, frequent, pairs, heavy, tasks(known[0]), bounds)
     none = [F.lit(0).cast("long").alias(w) for w in WORDS[1:]]
-    known = [words.select(F.col("h").alias("w1"), *none, "slot", "n")]
-    heavy = []
-    while len(heavy) < LONGEST - 1:
-        large = known[-1].filter(F.col("n") > bounds.heavy)
-        if large.isEmpty():
-            break
-        heavy.append(spark.sparkContext.broadcast(_bitmap(large, bounds.slots)))
-        known.append(materialize(_longer(texts, salt, frequent, heavy, bounds), "phrase-longer"))
-
-    def mine(group: pa.Table) -> pa.Table:
-        prefix = tuple(x for x in (group.column(w)[0].as_py() & (1 << 64) - 1 for w in WORDS) if x)
-        after = np.frombuffer(b"".join(group.column("after").to_pylist()), _U).reshape(-1, LONGEST - len(prefix))
-        out: list[tuple[tuple[int, ...], int]] = []
-        _grow(prefix, after, least, out)
-        keys = np.zeros((len(out), LONGEST), _U)
-        for i, (phrase, _) in enumerate(out):
-            keys[i, : len(phrase)] = phrase
-        return pa.table([*[pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in range(LONGEST)], pa.array([n for _, n in out], pa.int64())], [*WORDS, "f"])
-
-    found = _projected(texts, salt, frequent, heavy, bounds).groupBy(*WORDS).applyInArrow(mine, ", ".join(f"{w} long" for w in WORDS) + ", f long")
-    for k in known:
-        found = found.unionByName(k.filter(F.col("n") >= least).select(*WORDS, F.col("n").alias("f")))
-    return words, materialize(found, "phrase-frequent")
+    for k in (words.select(F.col("h").alias("w1"), *none, "slot", "n"), *known):
+        found = found.unionByName(k.filter(often))
+    return words, materialize(found.select(*WORDS, F.col("n").alias("f")), "phrase-frequent")
 
 
 def _cut(k: int, right: bool) -> list:

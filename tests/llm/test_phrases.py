@@ -81,10 +81,14 @@ def test_nothing_to_find(spark):
 def test_words_that_share_a_number_are_told_apart(spark):
     """With numbers of few bits the first salt mixes words up, and another is taken."""
     rows = odd_rows(2, 60)
-    words = {(lang or "und", w) for lang, text in rows for part, _ in phrases.tokens(text or "", 1 << 20) for w in part if w != b"."}
+    texts = {}
+    for lang, text in rows:
+        texts.setdefault(lang or "und", []).extend(phrases.parts(text or "", 1 << 20))
+    blocks = {lang: phrases.Block(p) for lang, p in texts.items()}
+    words = {(lang, b.raw[x:y].tobytes()) for lang, b in blocks.items() for x, y in zip(b.begin, b.end, strict=True)}
 
     def clear(salt, bits):
-        return len({phrases.xxhash.xxh64_intdigest(w, phrases._seed(salt, lang)) >> (64 - bits) or 1 for lang, w in words}) == len(words)
+        return len(np.unique(np.concatenate([b.numbers(phrases._seed(salt, lang), bits) for lang, b in blocks.items()]))) == len(words)
 
     bits = next(b for b in range(1, 64) if not clear(phrases.SALTS[0], b) and any(clear(s, b) for s in phrases.SALTS))
     assert mined(frame(spark, rows), least=5, bounds=phrases.Bounds(bits=bits)) == plain(rows, 5)
@@ -102,7 +106,25 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_growth_of_a_prefix():
-    after = np.array([[1, 2, 3, 0]] * 3 + [[1, 2, 0, 0]] * 2 + [[4, 0, 0, 0]], np.uint64)
+    after = np.array([[1, 2, 0, 0], [1, 2, 3, 0], [4, 0, 0, 0]], np.uint64)
     out = []
-    phrases._grow((9,), after, 2, out)
+    phrases._grow((9,), after, np.array([2, 3, 1]), 2, out)
     assert out == [((9, 1), 5), ((9, 1, 2), 5), ((9, 1, 2, 3), 3)]
+
+
+def test_parts_of_long_texts():
+    """Whatever the parts, each phrase of up to five words begins in one of them that has all of it."""
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["a", "bb", "ccc.", "dd,d", "\n", "eeeee"]) for _ in range(300))
+    flat = [w for piece in re.split("[.,\n]", text) for w in [*piece.split(), "."]]
+    want = Counter(tuple(flat[i : i + m]) for m in range(1, 6) for i in range(len(flat)) if "." not in flat[i : i + m] and len(flat[i : i + m]) == m)
+    for segment in (1, 5, 40, 10_000):
+        got = Counter()
+        for part in phrases.parts(text, segment):
+            b = phrases.Block([part])
+            w = [b.raw[x:y].tobytes().decode() for x, y in zip(b.begin, b.end, strict=True)]
+            for i in np.flatnonzero(b.starts):
+                for m in range(1, 6):
+                    if i + m <= len(w) and b.linked[i : i + m - 1].all():
+                        got[tuple(w[i : i + m])] += 1
+        assert got == want
