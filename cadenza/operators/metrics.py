@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.vectors import unit
+from .scans import cut, paired, percentiles, scan, totals
 
 
 def corpus_cer(s: Column, d: Column, i: Column, n: Column) -> list[Column]:
@@ -47,25 +47,28 @@ def bucket_report(rows: DataFrame, buckets: DataFrame, bucket: str, accepted: Co
     return F.broadcast(buckets).join(got, "bucket", "left").select("ord", "bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("accept_rate", F.lit(0.0)).alias("accept_rate"), "mean_cer")
 
 
-def percentiles(x: str, shares: dict[str, float]) -> list[Column]:
-    """Exact, with linear interpolation."""
-    return [F.percentile(x, F.lit(v)).alias(k) for k, v in shares.items()]
-
-
 def profile(x: str) -> list[Column]:
+    """For keys of few rows each: medians and quartiles hold a key's distinct values; see ``profiled``."""
     return [F.count(x).alias("n"), F.min(x).alias("least"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.75)).alias("q3"), F.max(x).alias("most")]
 
 
+def profiled(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """The same for keys of any number of rows: exact quartiles by ``scans.percentiles``."""
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("least"), F.avg(x).alias("mean"), F.max(x).alias("most"))
+    return paired(plain, percentiles(df, keys, x, {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n"), keys, "left").select(*keys, "n", "least", "mean", "median", "q1", "q3", "most")
+
+
 def duration_weighted_median(df: DataFrame, keys: list[str], score: str, weight: str) -> DataFrame:
-    """The first score at which half of all weight is reached, by a running sum; scales with rows of a key by sorting."""
-    w = Window.partitionBy(*keys)
-    run = F.sum(weight).over(w.orderBy(score).rangeBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumns({"_run": run, "_total": F.sum(weight).over(w)})
-    return marked.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_run") >= F.col("_total") / 2, F.col(score))), F.lit(0.0)).alias("weighted_median"))
+    """The first score at which half of all weight is reached; 0 for a key without any.  Weights are summed by score, then along
+    ranges of scores, so a key may have any number of rows."""
+    by = df.groupBy(*keys, score).agg(F.sum(weight).alias("_w"))
+    run = totals(scan(cut(by, keys, [score]), keys, [score], {"_run": ("sum", F.col("_w"))}), keys, {"_total": F.sum("_w")})
+    return run.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_run") >= F.col("_total") / 2, F.col(score))), F.lit(0.0)).alias("weighted_median"))
 
 
-def quality_summary(ratio: str, silent: Column) -> list[Column]:
-    return [F.count("*").alias("samples"), F.count_if(silent).alias("near_silent_samples"), rate(silent).alias("near_silent_rate"), F.min(ratio).alias("rms_ratio_min"), F.median(ratio).alias("rms_ratio_median"), F.max(ratio).alias("rms_ratio_max")]
+def quality_summary(df: DataFrame, keys: list[str], ratio: str, silent: Column) -> DataFrame:
+    plain = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.count_if(silent).alias("near_silent_samples"), rate(silent).alias("near_silent_rate"), F.min(ratio).alias("rms_ratio_min"), F.max(ratio).alias("rms_ratio_max"))
+    return paired(plain, percentiles(df, keys, ratio, {"rms_ratio_median": 0.5}).drop("n"), keys, "left")
 
 
 def corpus_si_sdr(signal: Column, error: Column, eps: float = 1e-8) -> Column:
@@ -101,9 +104,11 @@ def standardized(df: DataFrame, columns: list[str], tiny: float = 1e-8) -> DataF
 
 def imputed(df: DataFrame, columns: list[str], fitted_on: Column) -> DataFrame:
     """Fill nulls with the median of the rows that ``fitted_on`` picks, and flag them."""
-    stats = df.filter(fitted_on).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(stats))
-    return out.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*stats.columns)
+    fitted = df.filter(fitted_on)
+    # One number a column; null where there is nothing to fit on.
+    medians = {c: (percentiles(fitted, [], c, {"m": 0.5}).first() or {"m": None})["m"] for c in columns}
+    flagged = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
+    return flagged.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in medians.items()})
 
 
 def weighted_mean(v: Column, w: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import general
 from .metrics import verdict
+from .relational import required
 
 CONDITIONS = ["B0_MIXTURE", "ORACLE_TARGET", "B1_P2_TARGET"]
 
@@ -27,8 +28,23 @@ def summarize(predictions: DataFrame) -> DataFrame:
     """(bucket, condition) sums over rows with columns buckets, condition, s, d, i, n; OVERALL beside the labels; labels
     that start with ``seed:`` do not count."""
     labels = F.filter(F.concat(F.array(F.lit("OVERALL")), "buckets"), lambda b: ~b.startswith("seed:"))
-    # By set of labels first: what is unfolded are the few sets there are, not the rows.
-    sets = predictions.groupBy(labels.alias("labels"), "condition").agg(F.count("*").alias("samples"), F.sum(F.col("s") + F.col("d") + F.col("i")).alias("errors"), F.sum("n").alias("reference_chars"))
+    # What is unfolded are the few sets there are, not the rows.
+    sets = _counted(predictions.withColumn("labels", labels), ["labels"])
+    return _by_bucket(sets)
+
+
+def summarize_scenes(predictions: DataFrame) -> DataFrame:
+    """The same from the columns that labels are made of: scene, overlap, sir, snr.  Rows are counted by these; labels are made
+    for the few combinations there are."""
+    sets = _counted(predictions, ["scene", "overlap", "sir", "snr"])
+    return _by_bucket(sets.withColumn("labels", F.concat(F.array(F.lit("OVERALL")), bucket_labels(F.col("scene"), F.col("overlap"), F.col("sir"), F.col("snr")))))
+
+
+def _counted(predictions: DataFrame, by: list[str]) -> DataFrame:
+    return predictions.groupBy(*by, "condition").agg(F.count("*").alias("samples"), F.sum(F.col("s") + F.col("d") + F.col("i")).alias("errors"), F.sum("n").alias("reference_chars"))
+
+
+def _by_bucket(sets: DataFrame) -> DataFrame:
     rows = sets.select(F.explode("labels").alias("bucket"), "condition", "samples", "errors", "reference_chars")
     sums = rows.groupBy("bucket", "condition").agg(*[F.sum(c).alias(c) for c in ("samples", "errors", "reference_chars")])
     return sums.withColumn("cer", F.try_divide("errors", "reference_chars"))
@@ -77,4 +93,5 @@ def seed_vote(runs: DataFrame, frozen: int, needed: int = 2) -> DataFrame:
     vote = runs.agg(F.count("*").alias("runs"), F.count_distinct("seed").alias("seeds"), F.count_distinct("manifest").alias("manifests"), F.count_if("passed").alias("passed_runs"), F.coalesce(F.bool_or(F.when(F.col("seed") == frozen, F.col("passed"))), F.lit(False)).alias("frozen_passed"))
     sound = (F.col("runs") == 3) & (F.col("seeds") == 3) & (F.col("manifests") == 1)
     decision = F.when((F.col("passed_runs") >= needed) & F.col("frozen_passed"), "ACCEPT_B1_CANDIDATE").otherwise("REJECT_B1_CANDIDATE")
-    return vote.select("passed_runs", "frozen_passed", F.when(sound, decision).otherwise(F.raise_error(F.lit("three runs of distinct seeds over one manifest are needed")).cast("string")).alias("verdict"))
+    told = F.lit("three runs of distinct seeds over one manifest are needed")
+    return vote.filter(required(sound, told)).select("passed_runs", "frozen_passed", decision.alias("verdict"))

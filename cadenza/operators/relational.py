@@ -25,6 +25,12 @@ def violations(df: DataFrame, key: str, required: list[str]) -> DataFrame:
     return missing.unionByName(repeated)
 
 
+def required(ok: Column, message: Column) -> Column:
+    """A condition for ``filter`` that raises for a row where ``ok`` doesn't hold.  Filters, unlike projected columns, are never
+    pruned, so the check runs whatever is asked of the result."""
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def validated(df: DataFrame, key: str, required: list[str]) -> DataFrame:
     bad = violations(df, key, required).limit(5).collect()
     if bad:
@@ -35,8 +41,8 @@ def validated(df: DataFrame, key: str, required: list[str]) -> DataFrame:
 def referenced(rows: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """Inner join that raises for a key the dictionary lacks."""
     joined = rows.join(dictionary.withColumn("_hit", F.lit(True)), key, "left")
-    checked = F.when(F.col("_hit"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType))
-    return joined.withColumn(key, checked).drop("_hit")
+    told = F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return joined.filter(required(F.coalesce("_hit", F.lit(False)), told)).drop("_hit")
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -58,8 +64,8 @@ def combined(frames: list[DataFrame], key: str) -> DataFrame:
         every = every.unionByName(f)
     rest = [c for c in every.columns if c != key]
     once = every.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
-    checked = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("repeated key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(every.schema[key].dataType))
-    return once.select(checked.alias(key), *[F.col(f"_r.{c}").alias(c) for c in rest])
+    told = F.concat(F.lit("repeated key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return once.filter(required(F.col("_n") == 1, told)).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def scored(rows: DataFrame, items: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:

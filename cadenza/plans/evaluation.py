@@ -23,21 +23,20 @@ cp AS (SELECT bucket, max(cer) FILTER (condition = 'B0_MIXTURE') AS b0, max(cer)
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "B0_MIXTURE").when(F.col("l_returnflag") == "N", "ORACLE_TARGET").otherwise("B1_P2_TARGET")
     third = F.col("l_linenumber") % 3
-    rows = table(spark, sf, "lineitem").select(
-        kind.alias("condition"), F.when(third == 0, "SINGLE").otherwise("mix").alias("scene"), F.when(third == 0, 0.0).when(third == 1, 1.0).otherwise(0.5).alias("overlap"), F.when(F.col("l_suppkey") % 2 == 0, -5.0).otherwise(2.5).alias("sir"),
+    return table(spark, sf, "lineitem").select(
+        kind.alias("condition"), F.when(third == 0, "SINGLE").otherwise("mix").alias("scene"), F.when(third == 0, 0.0).when(third == 1, 1.0).otherwise(0.5).alias("overlap"), F.when(F.col("l_suppkey") % 2 == 0, -5.0).otherwise(2.5).alias("sir"), F.lit(None).cast("double").alias("snr"),
         F.col("l_quantity").cast("long").alias("n"), F.floor(F.col("l_quantity") * F.col("l_discount")).cast("long").alias("s"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("i"),
     )
-    return rows.withColumn("buckets", paired.bucket_labels(F.col("scene"), F.col("overlap"), F.col("sir"), F.lit(None).cast("double")))
 
 
 @query("A5 D23 F18", f"WITH {_PRED} SELECT bucket, condition, samples, errors, reference_chars, round(cer, 6) AS cer FROM sm")
 def paired_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return paired.summarize(_predictions(spark, sf)).withColumn("cer", F.round("cer", 6))
+    return paired.summarize_scenes(_predictions(spark, sf)).withColumn("cer", F.round("cer", 6))
 
 
 @query("A6", f"WITH {_PRED} SELECT bucket, round((b1 - b0) * 100, 5) AS absolute_change_pp, round((b0 - b1) * 100, 5) AS absolute_reduction_pp, round(CASE WHEN b0 <> 0 THEN (b0 - b1) / b0 END, 6) AS relative_reduction FROM cp WHERE b0 IS NOT NULL AND b1 IS NOT NULL")
 def paired_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    c = paired.compare(paired.summarize(_predictions(spark, sf)), "B0_MIXTURE", "B1_P2_TARGET")
+    c = paired.compare(paired.summarize_scenes(_predictions(spark, sf)), "B0_MIXTURE", "B1_P2_TARGET")
     return c.select("bucket", F.round("absolute_change_pp", 5).alias("absolute_change_pp"), F.round("absolute_reduction_pp", 5).alias("absolute_reduction_pp"), F.round("relative_reduction", 6).alias("relative_reduction"))
 
 
@@ -46,7 +45,7 @@ SELECT pp >= 5 OR rel >= 0.15 AS high_overlap_gain, single <= 2 AS single_degrad
 CASE WHEN pp IS NULL OR single IS NULL OR ext IS NULL THEN 'INCONCLUSIVE_MISSING_REQUIRED_EVIDENCE' WHEN (pp >= 5 OR rel >= 0.15) AND single <= 2 AND ext >= 0 THEN 'PASS_SINGLE_RUN_THRESHOLDS' ELSE 'FAIL_SINGLE_RUN_THRESHOLDS' END AS verdict FROM k""")
 def acceptance_verdict(spark: SparkSession, sf: str) -> DataFrame:
     facts = spark.range(1).selectExpr("true AS result_valid", "0 AS asr_errors", "10 AS quality_samples", "0 AS near_silent", "10 AS expected")
-    c = paired.compare(paired.summarize(_predictions(spark, sf)), "B0_MIXTURE", "B1_P2_TARGET")
+    c = paired.compare(paired.summarize_scenes(_predictions(spark, sf)), "B0_MIXTURE", "B1_P2_TARGET")
     return paired.acceptance(c, facts).select("high_overlap_gain", "single_degradation_le_2pp", "extreme_direction_not_reversed", "verdict")
 
 
@@ -70,7 +69,7 @@ def bucket_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A11", "SELECT event_type, count(*) AS samples, count(*) FILTER (value < 1) AS near_silent_samples, round(count(*) FILTER (value < 1) / count(*), 6) AS near_silent_rate, min(value) AS rms_ratio_min, round(median(value), 6) AS rms_ratio_median, max(value) AS rms_ratio_max FROM events GROUP BY event_type")
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = table(spark, sf, "events").groupBy("event_type").agg(*metrics.quality_summary("value", F.col("value") < 1))
+    out = metrics.quality_summary(table(spark, sf, "events"), ["event_type"], "value", F.col("value") < 1)
     return out.withColumns({c: F.round(c, 6) for c in ("near_silent_rate", "rms_ratio_median")})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import metrics, sequences
+from ..operators import metrics, scans, sequences
 from ..workspace import table
 from . import views
 from .catalog import query
@@ -73,8 +73,47 @@ def duration_weighted_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A7", "SELECT event_type, round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50, round(quantile_cont(value, 0.95) + 1e-9, 6) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    p50, p95 = metrics.percentiles("value", {"p50": 0.5, "p95": 0.95})
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(p50 + 1e-9, 6).alias("p50"), F.round(p95 + 1e-9, 6).alias("p95"), F.count("*").alias("n"))
+    got = metrics.percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return got.select("event_type", F.round(F.col("p50") + 1e-9, 6).alias("p50"), F.round(F.col("p95") + 1e-9, 6).alias("p95"), "n")
+
+
+@query("A8 A10", """SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS least, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice) + 1e-9, 4) AS median, round(quantile_cont(o_totalprice, 0.25) + 1e-9, 4) AS q1, round(quantile_cont(o_totalprice, 0.75) + 1e-9, 4) AS q3, max(o_totalprice) AS most FROM orders GROUP BY o_orderstatus""")
+def large_group_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    got = metrics.profiled(table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("double")), ["o_orderstatus"], "o_totalprice")
+    return got.select("o_orderstatus", "n", "least", F.round("mean", 4).alias("mean"), *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("median", "q1", "q3")], "most")
+
+
+# All events as one series, cut into ranges: what has windows by user above, without a window that holds the series.
+_ONE = f"""act AS (SELECT event_id AS t, least(value / 200, 1) AS p FROM events),
+sw AS (SELECT *, coalesce(last_value(CASE WHEN p >= {views.ON} THEN 1 WHEN p < {views.OFF} THEN 0 END IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS active FROM act),
+chg AS (SELECT *, CASE WHEN active = lag(active) OVER (ORDER BY t) THEN 0 ELSE 1 END AS c FROM sw), num AS (SELECT *, sum(c) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM chg)"""
+
+
+def _one_series(spark: SparkSession, sf: str) -> DataFrame:
+    return scans.cut(table(spark, sf, "events").select(F.col("event_id").alias("t"), F.least(F.col("value") / 200, F.lit(1.0)).alias("p")), [], ["t"])
+
+
+@query("W1 W2 W3 W6 W7", f"""WITH {_ONE}, runs AS (SELECT min(t) AS "start", max(t) AS "end" FROM num WHERE active = 1 GROUP BY run),
+g AS (SELECT *, CASE WHEN "start" - lag("end") OVER (ORDER BY "start") <= 3 THEN 0 ELSE 1 END AS f FROM runs), g2 AS (SELECT *, sum(f) OVER (ORDER BY "start" ROWS UNBOUNDED PRECEDING) AS segment FROM g),
+seg AS (SELECT CAST(segment AS BIGINT) AS segment, min("start") AS "start", max("end") AS "end" FROM g2 GROUP BY segment)
+SELECT segment, "start", "end", greatest("start" - 2, 0) AS guarded_start, "end" + 2 AS guarded_end, round(avg(p) + 1e-9, 6) AS mean_p, count(*) AS frames FROM seg JOIN act ON t BETWEEN "start" AND "end" WHERE "end" - "start" >= 1 GROUP BY ALL""")
+def long_series_segments(spark: SparkSession, sf: str) -> DataFrame:
+    series = _one_series(spark, sf)
+    switched = sequences.hysteresis(series, [], ["t"], "p", views.ON, views.OFF)
+    runs = sequences.active_runs(switched, [], ["t"], "t").select("start", "end")
+    core = sequences.drop_short(sequences.merge_gaps(scans.cut(runs, [], ["start"]), [], 3), 2)
+    told = sequences.add_guard(sequences.segment_features(core, series, [], "t", "p"), 2, 2, 1 << 40)
+    return told.select("segment", "start", "end", "guarded_start", "guarded_end", F.round(F.col("mean_p") + 1e-9, 6).alias("mean_p"), "frames")
+
+
+@query("W8 W13", f"""WITH {_ONE}, n1 AS (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM num), a1 AS (SELECT t, CASE WHEN active = 1 AND n < 2 THEN 0 ELSE active END AS active FROM n1),
+c2 AS (SELECT *, CASE WHEN active = lag(active) OVER (ORDER BY t) THEN 0 ELSE 1 END AS c FROM a1), r2 AS (SELECT *, sum(c) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM c2),
+n2 AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, max(run) OVER () AS lastrun FROM r2), a2 AS (SELECT t, CASE WHEN active = 0 AND run > 1 AND run < lastrun AND n <= 4 THEN 1 ELSE active END AS active FROM n2),
+f AS (SELECT row_number() OVER (ORDER BY t) - 1 AS r, sum(CAST(active AS DOUBLE)) OVER (ORDER BY t ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) / 8 AS m FROM a2)
+SELECT r // 4 AS frame, CASE WHEN m > 0.5 THEN 1 ELSE 0 END AS active FROM f WHERE r % 4 = 0""")
+def long_series_frames(spark: SparkSession, sf: str) -> DataFrame:
+    switched = sequences.hysteresis(_one_series(spark, sf), [], ["t"], "p", views.ON, views.OFF)
+    return sequences.pooled_activity(sequences.clean_runs(switched, [], ["t"], 2, 4), [], ["t"], "active", 8, 4, 0.5)
 
 
 @query("W13", f"""WITH {views.ACTIVITY}, f AS (SELECT user_id, t, sum(CASE WHEN p > 0.25 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS m FROM act)

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize, stem
+from ..operators.relational import required
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, strict: bool = False) -> DataFrame:
@@ -24,12 +25,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, stri
     ok = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.ltrim("value").startswith("{")
     if not strict:
         return rows.filter(ok).select("r.*").drop("_bad")
-    checked = F.when(ok, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))).cast(parsed_type(kind)))
-    return rows.select(checked.alias("r")).select("r.*").drop("_bad")
-
-
-def parsed_type(kind: StructType) -> StructType:
-    return StructType([*kind.fields]).add("_bad", "string")
+    told = F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))
+    return rows.filter(required(ok, told)).select("r.*").drop("_bad")
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +53,8 @@ def read_transcripts(spark: SparkSession, path: str, *, strict: bool = False) ->
     out = pairs.groupBy("utterance").agg(F.max_by("text", "at").alias("text"), F.count("*").alias("n"))
     if not strict:
         return out.select("utterance", "text")
-    wrong = (F.col("n") > 1) | (F.col("text") == "")
-    return out.select(F.when(wrong, F.raise_error(F.concat(F.lit("repeated or empty transcript: "), F.col("utterance"))).cast("string")).otherwise(F.col("utterance")).alias("utterance"), "text")
+    told = F.concat(F.lit("repeated or empty transcript: "), F.col("utterance"))
+    return out.filter(required((F.col("n") == 1) & (F.col("text") != ""), told)).select("utterance", "text")
 
 
 def read_phrases(spark: SparkSession, path: str, field_names: tuple[str, ...] = ("text", "phrase", "command", "label", "content")) -> DataFrame:
