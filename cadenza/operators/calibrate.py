@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,27 +60,70 @@ def log_likelihood_ratio(p: Column, prior: float = 0.5) -> Column:
     return logit(p) - float(np.log(prior / (1 - prior)))
 
 
-def fit_gate(rows: DataFrame, features: list[str], label: str, *, epochs: int = 2000, rate: float = 0.02, l2: float = 0.001, seed: int = 7) -> dict:
+#: Distinct feature vectors that the driver takes for descent; with more, each epoch is a job over blocks of them.
+MOST_VECTORS, BLOCK = 200_000, 65_536
+
+
+def _step(x: np.ndarray, y: np.ndarray, w: np.ndarray, beta: np.ndarray, bias: float) -> np.ndarray:
+    """Summed gradients of the weights and of the bias."""
+    g = w * (1 / (1 + np.exp(-np.clip(x @ beta + bias, -10, 10))) - y)
+    return np.append(x.T @ g, g.sum())
+
+
+def _blocks(counted: DataFrame, names: list[str], mean: np.ndarray, scale: np.ndarray, half: tuple[float, float]) -> DataFrame:
+    """Scaled vectors, labels and weights, ``BLOCK`` vectors a row, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = (np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(names))], 1) - mean) / scale
+            y, n = (batch.column(len(names) + i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+            data = np.column_stack([x, y, n * np.where(y == 1, *half)])
+            for i in range(0, len(data), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([data[i : i + BLOCK].tobytes()], pa.binary())], ["block"])
+
+    return materialize(counted.mapInArrow(run, "block binary"), "gate")
+
+
+def _gradient(blocks: DataFrame, width: int, beta: np.ndarray, bias: float) -> np.ndarray:
+    """The gradient over all blocks: one row of sums for each task, then one altogether."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1)
+        for batch in batches:
+            for raw in batch.column(0):
+                data = np.frombuffer(raw.as_buffer(), float).reshape(-1, width + 2)
+                total += _step(data[:, :width], data[:, width], data[:, width + 1], beta, bias)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], [f"g{i}" for i in range(width + 1)])
+
+    names = [f"g{i}" for i in range(width + 1)]
+    return _sums(blocks.mapInArrow(run, ", ".join(f"{c} double" for c in names)), [F.sum(c) for c in names])
+
+
+def fit_gate(rows: DataFrame, features: list[str], label: str, *, epochs: int = 2000, rate: float = 0.02, l2: float = 0.001, seed: int = 7, start: dict | None = None) -> dict:
     """Full-batch gradient descent with balanced classes, clipped gradients (5), weights (20) and logits (10).
 
-    Feature vectors recur, so rows are counted by distinct vector first; descent runs on the driver over at most
-    ``MOST_VECTORS`` of them and refuses more.  Initial weights are a normal draw of this library's generator."""
-    stats = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    Feature vectors recur, so rows are counted by distinct vector first.  Up to ``MOST_VECTORS`` of them are descended on
+    the driver; beyond that each epoch sums partial gradients where the vectors lie, and the driver sees one row of sums.
+    Both take the same steps.  ``start``, an earlier model of the same scaling, goes on from its weights; else they are a normal draw of this
+    library's generator."""
+    stats = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.sum(F.col(label).cast("double")).alias("ones"), F.count(label).alias("n")).first()
     mean = np.array([stats[f"m{i}"] for i in range(len(features))], float)
     scale = np.array([stats[f"s{i}"] or 0.0 for i in range(len(features))], float)
     scale[scale < 1e-8] = 1.0
-    counted = rows.groupBy(*features, label).agg(F.count("*").alias("_n")).limit(MOST_VECTORS + 1).toPandas()
-    if len(counted) > MOST_VECTORS:
-        raise ValueError(f"more than {MOST_VECTORS} distinct feature vectors; use fit_irls")
-    x, y, n = (counted[features].to_numpy(float) - mean) / scale, counted[label].to_numpy(float), counted["_n"].to_numpy(float)
-    w = n * np.where(y == 1, 0.5 / max((n * y).sum(), 1), 0.5 / max((n * (1 - y)).sum(), 1))
-    beta, bias = np.random.default_rng(seed).normal(0, 0.01, len(features)), 0.0
+    ones, n = float(stats["ones"] or 0), float(stats["n"])
+    half = 0.5 / max(ones, 1), 0.5 / max(n - ones, 1)
+    counted = materialize(rows.groupBy(*features, label).agg(F.count("*").alias("_n")), "vectors")
+    if counted.count() <= MOST_VECTORS:
+        held = counted.toPandas()
+        x, y = (held[features].to_numpy(float) - mean) / scale, held[label].to_numpy(float)
+        w = held["_n"].to_numpy(float) * np.where(y == 1, *half)
+        gradient = lambda beta, bias: _step(x, y, w, beta, bias)
+    else:
+        blocks = _blocks(counted.select(*features, label, "_n"), features, mean, scale, half)
+        gradient = lambda beta, bias: _gradient(blocks, len(features), beta, bias)
+    beta, bias = (np.array(start["weights"], float), float(start["bias"])) if start else (np.random.default_rng(seed).normal(0, 0.01, len(features)), 0.0)
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta + bias, -10, 10)))
-        g = w * (p - y)
-        beta = np.clip(beta - rate * np.clip(x.T @ g + l2 * beta, -5, 5), -20, 20)
-        bias -= rate * float(np.clip(g.sum(), -5, 5))
+        g = gradient(beta, bias)
+        beta = np.clip(beta - rate * np.clip(g[:-1] + l2 * beta, -5, 5), -20, 20)
+        bias -= rate * float(np.clip(g[-1], -5, 5))
     return {"feature_names": features, "feature_mean": mean.tolist(), "feature_scale": scale.tolist(), "weights": beta.tolist(), "bias": bias, "threshold": 0.5}
-
-
-MOST_VECTORS = 200_000

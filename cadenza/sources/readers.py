@@ -30,20 +30,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, stri
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no from 1, value) of a text file, for error reports: numbers follow partitions' line counts, so the file is read
-    twice and nothing is sorted in one place."""
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = lines.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return lines.join(F.broadcast(starts), "p").select((F.col("before") + F.col("m") - F.col("first") + 1).alias("line_no"), "value")
+    """(path, line_no from 1 in each file, value) of text files, for error reports.
+
+    Splits of a file are told by where they begin; a line's number is its place in the split plus the lines of the splits
+    before, so files are read twice, and only counts meet."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), "value", F.monotonically_increasing_id().alias("_m"))
+    splits = lines.groupBy("path", "_at").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return lines.join(starts, ["path", "_at"]).select("path", (F.col("_before") + F.col("_m") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 def read_transcripts(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
     """(utterance, text): ``utt rest of the line`` with white space removed, or ``path.wav,text`` for CSV.
 
     Strict: two parts, a text that isn't empty, no repeated key; else the last of a key stays."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    lines = with_line_numbers(spark, path).filter(F.trim("value") != "").select("value", F.struct("path", "line_no").alias("at"))
     if path.endswith(".csv"):
         parts = lines.select(F.split("value", ",", 2).alias("s"), "at").filter(F.trim(F.get("s", F.lit(0))).endswith(".wav"))
         pairs = parts.select(stem(F.trim(F.get("s", F.lit(0)))).alias("utterance"), F.regexp_replace(F.coalesce(F.get("s", F.lit(1)), F.lit("")), r"(?U)\s", "").alias("text"), "at")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from cadenza.operators import calibrate, corpus, metrics, paired, policy, relational
 from pyspark.sql import functions as F
@@ -97,3 +99,15 @@ def test_grid_by_place(spark):
         ok = [i[1] is not None and i[1] >= r.sv and (r.intent is None or i[2] <= r.intent) for i in items]
         err = sum((i[3] if not a else i[5] if r.phrase is not None and i[2] <= r.phrase else i[4]) for i, a in zip(items, ok) if i[0] == "pos")
         assert r.pos_corpus_cer == err / 24 and r.neg_rr == sum(not a for i, a in zip(items, ok) if i[0] == "neg") / 2
+
+
+def test_gate_descends_alike_on_the_driver_and_in_tasks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(round(rng.random(), 2), rng.choice([0.0, 0.5, 1.0]), 7.0, int(rng.random() < 0.3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "x double, z double, same double, y int").repartition(3)
+    here = calibrate.fit_gate(df, ["x", "z", "same"], "y", epochs=25)
+    monkeypatch.setattr(calibrate, "MOST_VECTORS", 10)
+    monkeypatch.setattr(calibrate, "BLOCK", 16)
+    there = calibrate.fit_gate(df, ["x", "z", "same"], "y", epochs=10)
+    there = calibrate.fit_gate(df, ["x", "z", "same"], "y", epochs=15, start=there)
+    assert there["weights"] == pytest.approx(here["weights"], abs=1e-9) and there["bias"] == pytest.approx(here["bias"], abs=1e-9)

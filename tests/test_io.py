@@ -72,3 +72,26 @@ def test_streaming_equals_batch(spark, tmp_path):
                 want.append((s, seq, hit))
                 sentence = ""
     assert got == sorted(want) and want
+
+
+def test_line_numbers_of_several_split_files(spark, tmp_path):
+    """Numbers start at 1 in each file, wherever it is split and whichever task reads a split."""
+    want = set()
+    for name, n in (("a", 300), ("b", 1), ("c", 57)):
+        lines = [f"{name} line {i}" if i % 5 else "" for i in range(1, n + 1)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n" * (name != "c"))
+        want |= {(name, i, line) for i, line in enumerate(lines, 1)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("100b", "1000b", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = [(r.path.rsplit("/", 1)[1][0], r.line_no, r.value) for r in readers.with_line_numbers(spark, str(tmp_path)).collect()]
+            assert len(got) == len(want) and set(got) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+        (tmp_path / "t").mkdir()
+        (tmp_path / "t" / "x.txt").write_text("".join(f"u{i % 7} {i}\n" for i in range(100)))
+        assert {r.utterance: r.text for r in readers.read_transcripts(spark, str(tmp_path / "t")).collect()} == {f"u{i % 7}": str(i) for i in range(100)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
