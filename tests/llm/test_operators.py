@@ -473,6 +473,11 @@ def test_lines(spark, docs, odd, empty):
 def changed(rng, kind, line):
     """A near copy of a line, given as words, by kind of change."""
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    if isinstance(kind, float):  # scattered letters
+        text = list(" ".join(line))
+        for i in rng.sample([i for i, c in enumerate(text) if c != " "], max(1, int(len(text) * kind))):
+            text[i] = "q"
+        return "".join(text)
     line = list(line)
     if kind == "letter":
         i = rng.randrange(len(line))
@@ -492,7 +497,7 @@ def test_recall_of_near_lines(spark):
     vocabulary = ["".join(rng.choices(["er", "en", "ch", "lo", "mi", "s", "t", "ring", "tion", "a", "o"], k=rng.randint(1, 4))) for _ in range(800)]
     rows, kinds = [], {}
     for n in (5, 6, 10, 15, 25, 60, 100):
-        for kind in ("letter", "word", "tenth", "fifth"):
+        for kind in ("letter", "word", "tenth", "fifth", 0.05):
             for _ in range(40):
                 line = rng.choices(vocabulary, k=n)
                 kinds[len(rows) + 1] = kind
@@ -507,6 +512,16 @@ def test_recall_of_near_lines(spark):
         assert len(own) > 100 and len(own & got) >= 0.9 * len(own), kind
 
 
+def test_digits_and_short_lines(spark):
+    """Lines that differ in digits are different; of short equal lines only those of the least length go."""
+    from cadenza.llm import line_dedup as L
+
+    rows = [(0, "in 1999\n77\n}\nyes"), (1, "in 2024\n34\n}\nyes"), (2, "in  1999\n77 \n}\n"), (3, "total of 12 parts in box 1 of 90\ntotal of 12 parts in box 2 of 90")]
+    out = lambda **k: {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **k).collect()}
+    assert out() == {0: rows[0][1], 1: "in 2024\n34", 2: "", 3: "total of 12 parts in box 1 of 90"}
+    assert out(least_bytes=3) == {0: rows[0][1], 1: "in 2024\n34\n}", 2: "77 \n}\n", 3: "total of 12 parts in box 1 of 90"}
+
+
 def test_large_groups_of_lines(spark, monkeypatch):
     """Buckets in blocks, cut by fields, and components joined across blocks, as on much larger tables."""
     from cadenza.llm import line_dedup as L
