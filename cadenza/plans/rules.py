@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, corpus, metrics, paired, policy, relational, sequences
-from ..sources import readers, sinks
+from ..sources import documents, readers, sinks
 from ..workspace import table
 from . import views
 from .audits import _AUDIT, _EVIDENCE, _evidence
@@ -203,11 +203,19 @@ def delivery_problems(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.missing_files(got.drop("n"), present)
 
 
-@query("K10", f"WITH {_FILES} SELECT unnest(['VERSION', 'SCHEMA', 'FROZEN']) AS name, unnest(['v1', 'doc_id: bigint' || chr(10) || 'lang: string', (SELECT sha256(string_agg(sha256 || '  ' || path, chr(10) ORDER BY path)) FROM f)]) AS value")
+@query("K10", f"WITH {_FILES}, n AS (SELECT *, (row_number() OVER (ORDER BY path) - 1) // 4096 AS g FROM f), d AS (SELECT g, sha256(string_agg(sha256 || '  ' || path, chr(10) ORDER BY path)) AS d FROM n GROUP BY g) SELECT unnest(['VERSION', 'SCHEMA', 'FROZEN']) AS name, unnest(['v1', 'doc_id: bigint' || chr(10) || 'lang: string', (SELECT CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, chr(10) ORDER BY g)) END FROM d)]) AS value")
 def release_notes(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.provenance(table(spark, sf, "documents").select("doc_id", "lang"), "v1", _ledger(spark, sf))
 
 
+@query("D26", """SELECT * FROM (SELECT unnest(['ratio', 'share', 'price']) AS term, unnest([count(*) FILTER (p_size % 7 = 0 OR p_size % 5 = 0), count(*) FILTER (p_size % 3 = 0), 0]) AS n FROM part) WHERE n > 0""")
+def non_finite_terms(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    ratio = F.when(size % 7 == 0, F.lit(float("inf"))).when(size % 5 == 0, F.lit(float("nan"))).otherwise(1.0)
+    terms = table(spark, sf, "part").select(ratio.alias("ratio"), F.when(size % 3 != 0, 0.5).alias("share"), F.col("p_retailprice").alias("price"))
+    return documents.non_finite_terms(terms, ["ratio", "share", "price"])
+
+
 @query("K7 K8", "SELECT 'wav.scp' AS file, p_partkey || ' wav/' || p_brand AS value FROM part UNION ALL SELECT 'text', p_partkey || ' ' || p_name FROM part UNION ALL SELECT 'predictions', '{\"id\":' || p_partkey || ',\"content\":\"' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END || '\"}' FROM part")
 def delivered_lines(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")

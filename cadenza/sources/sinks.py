@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stem
+from .documents import listed_digest
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -21,7 +22,7 @@ def write_splits(df: DataFrame, path: str, split: str, order: list[str], key: st
 
 def submission(rows: DataFrame, cer: Column, rr: Column, seconds: float) -> DataFrame:
     """One row with the whole document as JSON, results by ord.  Rows: ord, id (null: the audio's stem), audio, content, label,
-    cer.  A document is as large as its rows: for reports, not for corpora."""
+    cer.  A document is as large as its rows; ``documents.write_submission`` writes one of any size."""
     ident = F.coalesce(F.col("id").cast("string"), stem(F.col("audio")))
     item = F.struct("ord", F.struct(ident.alias("id"), "content", "label", "cer").alias("r"))
     doc = rows.agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("results"), cer.alias("avg_cer"), rr.alias("avg_rr"))
@@ -53,10 +54,10 @@ def missing_files(required: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def provenance(df: DataFrame, version: str, files: DataFrame) -> DataFrame:
-    """(name, value): VERSION, SCHEMA (one line a field) and FROZEN, the digest over a ledger (path, sha256) in path order.
-    A ledger has a line for each file: the one list that is put together."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws("  ", x["sha256"], x["path"])), "\n")
-    frozen = files.agg(F.sha2(lines, 256).alias("value")).select(F.lit("FROZEN").alias("name"), "value")
+    """(name, value): VERSION, SCHEMA (one line a field) and FROZEN, the digest over a ledger (path, sha256) in path order
+    (``documents.listed_digest``, so the ledger may have any length)."""
+    line = F.concat_ws("  ", "sha256", "path")
+    frozen = listed_digest(files.select("path", line.alias("line")), ["path"], "line").select(F.lit("FROZEN").alias("name"), "value")
     schema = "\n".join(f"{f.name}: {f.dataType.simpleString()}{'' if f.nullable else ' not null'}" for f in df.schema.fields)
     told = [F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in (("VERSION", version), ("SCHEMA", schema))]
     return df.sparkSession.range(1).select(F.explode(F.array(*told)).alias("x")).select("x.*").unionByName(frozen)
