@@ -26,4 +26,4 @@ def query(covers: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import audits, decisions, evaluation, manifests, rules, series, signals, texts  # noqa: F401
+    from . import audits, decisions, evaluation, manifests, roundtrips, rules, series, signals, texts  # noqa: F401
