@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import discard, materialize
-from .components import connected_components
+from .components import connected_components, facing_blocks
 from .kernel import _U, CHUNK, bound_batches, mix, strings, tidy, words
 
 #: Registers in a band: four registers of 16 bits fill a 64-bit key.
@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     2. Four neighbouring registers make a band; classes that share a band's key are candidates.  In every such bucket
        each class is held against those of smallest and of largest id: collision-corrected estimate first, then the full sets.
     3. Components of the confirmed links.  In buckets that still hold several components, all pairs across components
-       are estimated, in blocks of bounded size, and the likely ones confirmed.  Components again.
+       are estimated, in blocks of bounded size, and the likely ones confirmed; members of a bucket's largest component
+       face those of the others only (``components.facing_blocks``).  Components again.
 
     So no link is skipped because a bucket is large, and no pair within a component is compared.  The number of bands
     follows from the threshold: a pair at the threshold shares none with probability below ``MISS``, and the estimate turns
@@ -314,12 +315,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = confirmed(stars)
     labels = connected_components(links)
     named = shared.join(labels, shared["id"] == labels["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     short = sets.mapInArrow(_short, "id bigint, short binary")
-    open_rows = named.join(mixed, "bucket").join(some, "id").join(short, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    open_rows = open_rows.select("bucket", "id", "n", "comp", "sketch", "short", "block", facing)
-    open_rows = open_rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "comp", "sketch", "short")
+    facing = facing_blocks(materialize(named.withColumnRenamed("id", "node"), "members"), BLOCK).withColumnRenamed("node", "id")
+    open_rows = facing.join(some, "id").join(short, "id").select("bucket", "lo", "hi", "block", "id", "n", "comp", "sketch", "short")
     keys = ["bucket", "lo", "hi"]
     n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = materialize(open_rows.repartition(n_tasks, *keys).sortWithinPartitions(*keys, "id").mapInArrow(_rest(num, den), "a bigint, b bigint, sure boolean"), "rest")

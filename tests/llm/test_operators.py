@@ -229,10 +229,13 @@ def brute_near(rows, k, num, den):
     return sets, components(sets, links)
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, docs, k, num):
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 85, 2048), (5, 80, 2048), (3, 85, 8)])
+def test_near_duplicates(spark, docs, monkeypatch, k, num, block):
+    """Also with buckets that are cut into many blocks."""
+    from cadenza.llm import near_dedup
     from cadenza.llm.near_dedup import near_duplicates
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(k)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
