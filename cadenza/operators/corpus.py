@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import PART, cut, scan, totals
 
 
 def hash_percent(x: Column) -> Column:
@@ -45,16 +46,26 @@ def overlap_label(overlap: Column, sir: Column) -> Column:
 
 
 def disjoint_split(keys: DataFrame, key: str, shares: tuple[float, float] = (0.75, 0.125)) -> DataFrame:
-    """Split distinct keys by their rank in hash order; at least two go to either smaller side.
-
-    The keys (speakers) are ranked in one place; they are few against their recordings."""
-    order = F.sha2(F.col(key).cast("string"), 256)
-    ranked = keys.select(key).distinct().withColumn("_r", F.row_number().over(Window.orderBy(order, key)) - 1)
-    n = ranked.count()
+    """Split distinct keys by their rank in hash order, range by range; at least two go to either smaller side."""
+    order = ["_h", key]
+    hashed = keys.select(key).distinct().withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    ranked = scan(cut(hashed, [], order), [], order, {"_r": ("sum", F.lit(1).cast("long"))}).withColumn("_r", F.col("_r") - 1)
+    n = hashed.count()
     side = max(2, int(n * shares[1]))
     return ranked.select(key, F.when(F.col("_r") < n - 2 * side, "train").when(F.col("_r") < n - side, "dev").otherwise("test").alias("split"))
 
 
+def shuffled_split(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
+    """Add ``train``: of each class the first share in a shuffled order that seed and key fix, rounded half to even; either
+    side has a row at least where a class has two.  Ranks are counted along ranges, so a class may have any size; null is a
+    class, and rows that repeat a key follow each other."""
+    order = ["_h", key]
+    hashed = df.withColumn("_h", F.sha2(F.concat(F.lit(f"split:{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256))
+    ranked = totals(scan(cut(hashed, [label], order), [label], order, {"_r": ("sum", F.lit(1).cast("long"))}), [label], {"_n": F.count("*")})
+    most = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share, 0).cast("long")))
+    return ranked.withColumn("train", F.col("_r") <= most).drop("_h", "_r", "_n", PART)
+
+
 def usable(df: DataFrame, key: str, least: int) -> DataFrame:
     """Keys of at least ``least`` rows."""
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least)

@@ -208,6 +208,12 @@ def release_notes(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.provenance(table(spark, sf, "documents").select("doc_id", "lang"), "v1", _ledger(spark, sf))
 
 
+@query("D10", """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256('split:7:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT doc_id, quality, r <= greatest(1, least(n - 1, CAST(round_even(n * CAST(0.8 AS DOUBLE), 0) AS BIGINT))) AS train FROM r""")
+def class_split(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.shuffled_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.8, 7)
+
+
 @query("D26", """SELECT * FROM (SELECT unnest(['ratio', 'share', 'price']) AS term, unnest([count(*) FILTER (p_size % 7 = 0 OR p_size % 5 = 0), count(*) FILTER (p_size % 3 = 0), 0]) AS n FROM part) WHERE n > 0""")
 def non_finite_terms(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
