@@ -170,6 +170,20 @@ def test_token_counts_and_cache(spark, docs, odd, empty, tmp_path):
     assert count_tokens(empty, BPE, cache).count() == 0
 
 
+def test_cache_with_repeated_entries(spark, odd, tmp_path, monkeypatch):
+    """Entries that two writers appended count once, and many misses go another way than few."""
+    from cadenza.llm import token_count
+
+    cache = f"file://{tmp_path}/cache"
+    first = sorted(map(tuple, token_count.count_tokens(odd, BPE, cache).collect()), key=str)
+    spark.read.parquet(cache).write.parquet(f"file://{tmp_path}/copy")
+    spark.read.parquet(f"file://{tmp_path}/copy").write.mode("append").parquet(cache)
+    assert sorted(map(tuple, token_count.count_tokens(odd, BPE, cache).collect()), key=str) == first
+    assert spark.read.parquet(cache).count() == 2 * len({t or "" for _, t in ODD})  # nothing was encoded again
+    monkeypatch.setattr(token_count, "FEW", 2)
+    assert sorted(map(tuple, token_count.count_tokens(odd, BPE, f"file://{tmp_path}/other").collect()), key=str) == first
+
+
 def test_sharding(spark, docs, odd, empty):
     from cadenza.llm.sharding import assign_shards, lookup_table
 
