@@ -68,6 +68,14 @@ def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int
     return {"query_id": join(out_q, np.int64), "vec_id": join(out_x, np.int64), "score": join(out_s, np.int64)}
 
 
+def _nearest_ids(far: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n least distances of different ids, in order, and the ids: however often an id occurs, n others than any one lie within
+    the last of n + 1."""
+    order = np.argsort(far, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:n]
+    return far[order][first], ids[order][first]
+
+
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
     """floor(scale * component); rows whose vector (or id) is null or holds a null or non-finite component are left out."""
     x = F.col(vec_col)
@@ -80,14 +88,15 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
     integer inner product; ties go to the smaller id.
 
     Products become distances by one more coordinate: sqrt(M - |x|**2) for data, M the largest squared norm, and 0 for
-    queries; then nearer means higher.  Rows join the cell of their nearest pivot.  Each cell's k + 1 least distances to
+    queries; then nearer means higher.  Rows join the cell of their nearest pivot.  Each cell's k + 1 least distances (of different ids) to
     its pivot bound, with the distances between pivots, how far the k-th neighbour of any query of a cell can be; a data
     row goes to a query cell only if the triangle inequality lets it lie within that bound.  Bounds are widened by a
     rounding allowance, so no neighbour is lost.  Cells are cut into blocks of bounded size by hash (a cell may hold
     any share of the rows), each pair of blocks is solved by one matrix product, and the local winners are merged.
 
     Null ids or vectors, and vectors with null or non-finite components, take no part; shorter vectors count as padded
-    with zeros; an id that occurs twice is one candidate per row, and no candidate of itself.  Products are whole numbers of up to
+    with zeros; an id that occurs twice is one candidate per row, no candidate of itself, and as a
+    query one whose answers are those of all its rows.  Products are whole numbers of up to
     62 bits; vectors that could give larger ones are refused.  With fewer than k
     candidates all are returned.  Returns query_id, rank (from 1), vec_id, score.
     """
@@ -110,15 +119,15 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
     n_cells, slack = len(pivots), 1e-6 * np.sqrt(reach + 1) + 1e-6
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = [np.zeros(0) for _ in range(n_cells)]
+        least = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(n_cells)]
         for batch in batches:
             x = _matrix(batch.column(0), dim)
             far = _far(x, np.sqrt(np.maximum(reach - (x * x).sum(1), 0)), pivots, pivot_extra)
-            cell = far.argmin(1)
+            cell, own = far.argmin(1), batch.column(1).to_numpy()
             for c in np.unique(cell):
-                least[c] = np.sort(np.concatenate([least[c], far[cell == c, c]]))[: k + 1]
-        for c, x in enumerate(least):
-            yield pa.record_batch([pa.array(np.full(len(x), c), pa.int32()), pa.array(x)], ["cell", "far"])
+                least[c] = _nearest_ids(np.concatenate([least[c][0], far[cell == c, c]]), np.concatenate([least[c][1], own[cell == c]]), k + 1)
+        for c, (x, i) in enumerate(least):
+            yield pa.record_batch([pa.array(np.full(len(x), c), pa.int32()), pa.array(x), pa.array(i)], ["cell", "far", "id"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,15 +136,16 @@ def voronoi_top_k(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col:
             cell = far.argmin(1)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(far[np.arange(len(x)), cell])], ["id", "v", "cell", "far"])
 
-    nearest = Window.partitionBy("cell").orderBy("far")
-    summary = base.select("v").mapInArrow(summarise, "cell int, far double").withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).toPandas()
+    nearest = Window.partitionBy("cell").orderBy("far", "id")
+    closest = base.select("v", "id").mapInArrow(summarise, "cell int, far double, id bigint").groupBy("cell", "id").agg(F.min("far").alias("far"))
+    summary = closest.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k + 1).toPandas()
     queries = materialize(base.filter(is_query).mapInArrow(place, "id bigint, v array<bigint>, cell int, far double"), "queries")
     groups = queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()
     between = _far(pivots, pivot_extra, pivots, pivot_extra)
     cell_of, reach_of = summary["cell"].to_numpy(), summary["far"].to_numpy()
     radius, bound, parts = np.zeros(n_cells), np.full(n_cells, -1.0), np.zeros(n_cells, int)
     for c, n, r in groups.itertuples(index=False):
-        upper = np.sort(r + between[c][cell_of] + reach_of)
+        upper, _ = _nearest_ids(r + between[c][cell_of] + reach_of, summary["id"].to_numpy(), k + 1)
         radius[c], parts[c] = r, -(-n // QUERY_BLOCK)
         bound[c] = upper[k] if len(upper) > k else np.inf
     blocks = max(1, -(-facts["n"] // DATA_BLOCK))

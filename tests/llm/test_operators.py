@@ -621,6 +621,24 @@ def test_top_k(spark, monkeypatch):
     assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2]
 
 
+def test_top_k_with_repeated_ids_and_further_columns(spark, monkeypatch):
+    """Ids that occur often, as queries and as candidates, near a pivot that others are far from."""
+    from cadenza.llm import knn
+
+    monkeypatch.setattr(knn, "DATA_BLOCK", 16)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(9)
+    rows = [(0, (np.array([5.0] * 4) + rng.normal(0, 0.01, 4)).tolist()) for _ in range(60)]
+    rows += [(20, (np.array([5.0] * 4) + rng.normal(0, 0.01, 4)).tolist()) for _ in range(3)] + [(i, rng.normal(0, 1, 4).tolist()) for i in range(1, 120) if i != 20]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, "x", 4) for r in rows], "vec_id long, embedding array<double>, id int, cell int, far int, v string, block int").repartition(3)
+    ints = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        best = sorted((-int(a @ b), j) for i, a in ints if i == q for j, b in ints if j != q)[:7]
+        want += [(q, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in knn.voronoi_top_k(frame, F.col("id") % 20 == 0, 7).collect()) == sorted(want)
+
+
 def test_top_k_of_large_values(spark):
     from cadenza.llm.knn import voronoi_top_k
 
