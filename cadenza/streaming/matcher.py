@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..workspace import scratch
+from ..workspace import as_pattern, scratch
 
 _STRIP = str.maketrans("", "", "，。、？！?!,. ")
 
@@ -72,7 +72,7 @@ def match_stream(pieces: DataFrame, commands: list[str], *, threshold: float = 0
 def run_once(spark: SparkSession, path: str, columns: dict[str, str], commands: list[str], **options) -> DataFrame:
     """Stream the Parquet table at ``path`` through the matcher until it is used up; the results as a table."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").selectExpr(*[f"{src} AS {dst}" for dst, src in columns.items()])
+    stream = spark.readStream.schema(schema).parquet(as_pattern(path)).selectExpr(*[f"{src} AS {dst}" for dst, src in columns.items()])
     out = scratch(spark, "matches")
     matched = match_stream(stream, commands, **options)
     query = matched.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()

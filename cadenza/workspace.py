@@ -7,6 +7,7 @@ Every intermediate that must outlive a lost executor is written as Parquet below
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,3 +59,8 @@ def discard(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> N
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_pattern(path: str) -> str:
+    """A pattern that only this path matches: streams read a file, as well as a folder, by pattern."""
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path[:-1]) + f"[{path[-1]}]"

@@ -1,12 +1,14 @@
 """Chunk source and sentence state: batches, restarts, timers."""
 
 import datetime
+import shutil
 import time
 
 import numpy as np
 import pytest
 from cadenza.sources import samples
 from cadenza.streaming import matcher, sentences
+from cadenza.workspace import as_pattern
 from pyspark.errors import StreamingQueryException
 
 
@@ -129,6 +131,18 @@ def test_the_clock_closes_idle_sessions(spark, tmp_path, rocksdb):
     assert [(r.session, r.first_seq, r.last_seq, r.sentence) for r in rows] == [("x", 0, 0, "please tu")]
 
 
+def test_paths_with_signs_of_patterns(spark, tmp_path):
+    """Of two files only the one named is streamed, whatever its name."""
+    for name, text in (("a[b]{c,d}*?.parquet", "turnon"), ("ab.parquet", "stop")):
+        spark.createDataFrame([(1, 0, text)], "session long, seq long, text string").coalesce(1).write.parquet(str(tmp_path / "new"))
+        (tmp_path / name).write_bytes(next((tmp_path / "new").glob("*.parquet")).read_bytes())
+        shutil.rmtree(tmp_path / "new")
+    path = as_pattern(str(tmp_path / "a[b]{c,d}*?.parquet"))
+    stream = spark.readStream.schema("session long, seq long, text string").parquet(path)
+    once(stream, tmp_path / "out", tmp_path / "check")
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["turnon"]
+
+
 def test_wrong_options(spark, tmp_path):
     samples.register(spark)
     with pytest.raises((StreamingQueryException, Exception), match="sampleType|positive"):
