@@ -96,3 +96,27 @@ def test_combined_and_counted(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "notes" / "name=VERSION")).first().value == "v1"
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_provenance(notes, str(tmp_path / "notes"))
+
+
+def test_windows_that_are_kept(spark):
+    """Where windows of equal verdicts lie alone the gain is 1 or the floor; where they overlap it is between."""
+    n = int(1.6 * 16000)
+    x = [1.0] * (2 * n)  # windows begin at 0, n / 2 and n
+    rows = spark.createDataFrame([(0, x, [0.9, 0.9, 0.9]), (1, x, [0.1, 0.1, 0.1]), (2, x, [0.9, 0.1, 0.1]), (3, [1.0] * 10, [0.9]), (4, [1.0] * 10, [])], "id int, x array<double>, s array<double>")
+    got = {r.id: r.y for r in rows.select("id", G.keep_windows("x", "s", F.lit(0.5), F.lit(0.2)).alias("y")).collect()}
+    assert got[0] == pytest.approx(x) and got[1] == pytest.approx([0.2] * len(x)) and got[3] == pytest.approx([1.0] * 10) and got[4] == pytest.approx([0.2] * 10)
+    assert got[2][: n // 2] == pytest.approx([1.0] * (n // 2)) and got[2][n:] == pytest.approx([0.2] * n)
+    assert all(0.2 < v < 1.0 for v in got[2][n // 2 + 10 : n - 10])
+
+
+def test_tables_and_arrays(spark, tmp_path):
+    import numpy as np
+    from cadenza.operators import policy
+    from cadenza.sources import readers
+
+    assert sinks.markdown([{"a": 1, "b": None}, {"a": 2}], ["a", "b"]) == "| a | b |\n|-|-|\n| 1 | None |\n| 2 |  |"
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.int16).reshape(2, 3))
+    assert [r["values"] for r in readers.read_arrays(spark, str(tmp_path)).collect()] == [[0.0, 1.0, 2.0, 3.0, 4.0, 5.0]]
+    scores = spark.createDataFrame([(0.25, 0.5), (1.5, 1.0)], "cer double, rr double")
+    got = [round(r[0], 9) for r in scores.select(policy.objective_80_clamped(F.col("cer"), F.col("rr"))).collect()]
+    assert got == [round(80 * (0.6 * 0.75 + 0.4 * 0.5), 9), 32.0]
