@@ -11,7 +11,9 @@ from ..functions.text import COMMAND_PUNCTUATION, scaled_distance
 from ..workspace import materialize
 
 #: Numbers of edits for which the bank is indexed, one after the other, for the texts that are still open.
-EDITS = (2, 6)
+EDITS = (2, 5)
+#: Phrases from which on the index is worth its passes; fewer meet every text in one block.
+FEW = 64
 #: Phrases and texts of a length that one key of the last join holds.
 BANK_BLOCK, TEXT_BLOCK = 2048, 16384
 
@@ -61,11 +63,13 @@ def _nearest(grouped: DataFrame, bank: DataFrame) -> DataFrame:
     distances.  Every join is by equality; neither side need fit anywhere.
     """
     known = materialize(bank.withColumn("m", F.length("phrase")), "bank")
-    size, longest = known.agg(F.count("*"), F.max("m")).first()
+    # Phrases by length: no more rows than the longest has characters.
+    counts = {r.m: r["count"] for r in known.groupBy("m").count().collect()}
+    size = sum(counts.values())
     grouped = materialize(grouped.withColumn("n", F.length("s")), "strings")
-    still, best = grouped.select("g").distinct(), None
+    still, best = grouped.select("g", F.lit(1.0).alias("most")).distinct(), None
     if size:
-        for k in EDITS:
+        for k in EDITS if size > FEW else ():
             mine = grouped if best is None else grouped.join(still, "g", "left_semi")
             strings = mine.select("s", "n", "lo", "hi").distinct()
             met = _substrings(strings, k).withColumnRenamed("at", "at_s").join(_pieces(known, k), "piece")
@@ -76,24 +80,26 @@ def _nearest(grouped: DataFrame, bank: DataFrame) -> DataFrame:
             best = materialize(_best(found if best is None else found.unionByName(best)), "nearest")
             widest = mine.groupBy("g").agg(F.max("n").alias("n")).join(best, "g", "left")
             still = materialize(widest.filter(F.col("score").isNull() | (F.col("score") >= (k + 1) / (F.col("n") + k + 1))).select("g", F.coalesce("score", F.lit(1.0)).alias("most")), "open")
-        best = materialize(_best(best.unionByName(_in_blocks(grouped, still, known, size, longest))), "nearest")
+        rest = _in_blocks(grouped, still, known, counts)
+        best = materialize(_best(rest if best is None else best.unionByName(rest)), "nearest")
     else:
         best = still.select("g", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("phrase"))
     return best.select("g", "phrase", "score")
 
 
-def _in_blocks(grouped: DataFrame, still: DataFrame, bank: DataFrame, size: int, longest: int) -> DataFrame:
-    """(g, score, ord, phrase): for open groups (g, most) all pairs of score up to ``most``.
+def _in_blocks(grouped: DataFrame, still: DataFrame, bank: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(g, score, ord, phrase): for open groups (g, most) all pairs of score up to ``most``.  ``counts``: phrases by length.
 
     A score of at most x needs lengths n and m of a ratio of 1 - x at least: a string meets the lengths that this leaves, and
     of each the phrases in blocks.  Strings without a common character with any phrase have distance 1 from all of them."""
     mine = materialize(grouped.join(still, "g").withColumn("most", F.least("most", F.lit(1.0))), "far")
-    blocks, spread = math.ceil(size / BANK_BLOCK), max(1, math.ceil(mine.count() / TEXT_BLOCK))
+    blocks, spread = math.ceil(max(counts.values()) / BANK_BLOCK), max(1, math.ceil(mine.count() / TEXT_BLOCK))
     share = 1 - F.col("most") - 1e-9
-    lo = F.greatest(F.col("lo"), F.lit(1), F.ceil(F.col("n") * share).cast("int"))
-    hi = F.least(F.col("hi"), F.lit(longest), F.when(share > 0, F.floor(F.col("n") / share)).otherwise(longest).cast("int"))
-    asked = mine.withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
-    asked = asked.select("g", "s", "n", "most", F.explode(F.sequence("_lo", "_hi")).alias("m"), F.pmod(F.xxhash64("s"), F.lit(spread)).alias("row")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lo = F.greatest(F.col("lo"), F.ceil(F.col("n") * share).cast("int"))
+    hi = F.least(F.col("hi"), F.when(share > 0, F.floor(F.col("n") / share)).otherwise(max(counts)).cast("int"))
+    asked = mine.withColumns({"_lo": lo, "_hi": hi})
+    fits = F.filter(F.array(*map(F.lit, sorted(counts))), lambda m: m.between(F.col("_lo"), F.col("_hi")))
+    asked = asked.select("g", "s", "n", "most", F.explode(fits).alias("m"), F.pmod(F.xxhash64("s"), F.lit(spread)).alias("row")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     held = bank.select("ord", "phrase", "m", F.pmod(F.xxhash64("phrase"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("row"))
     within = F.floor(F.col("most") * F.greatest("n", "m") + 1e-9).cast("int")
     apart = F.call_function("levenshtein", F.col("s"), F.col("phrase"), within)

@@ -1,6 +1,7 @@
 """The indexed similarity join against all pairs in plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from cadenza.operators import matching
@@ -64,6 +65,7 @@ def test_nearest_phrase(spark, monkeypatch, seed, letters):
     a, b = frames(spark, texts, bank)
     want = plain_nearest(texts, bank)
     assert {(r.text, r.phrase, round(r.distance, 9)) for r in matching.nearest_phrase(a, "text", b).collect()} == want
+    monkeypatch.setattr(matching, "FEW", 3)
     monkeypatch.setattr(matching, "BANK_BLOCK", 3)
     monkeypatch.setattr(matching, "TEXT_BLOCK", 5)
     monkeypatch.setattr(matching, "EDITS", (1,))
@@ -72,7 +74,8 @@ def test_nearest_phrase(spark, monkeypatch, seed, letters):
 
 
 @pytest.mark.parametrize("seed, letters", [(4, "abc"), (5, "开关灯，窗 。")])
-def test_match_commands(spark, seed, letters):
+def test_match_commands(spark, monkeypatch, seed, letters):
+    monkeypatch.setattr(matching, "FEW", 0 if letters == "abc" else 64)
     texts, bank = case(seed, letters)
     a, b = frames(spark, texts, bank)
     threshold = 0.35 if letters == "abc" else 1.0
@@ -95,7 +98,7 @@ def test_no_product_in_any_plan(spark, capsys):
     known = b.withColumn("m", F.length("phrase"))
     strings = a.filter("text <> ''").select(F.col("text").alias("g"), F.col("text").alias("s"), F.lit(1).alias("lo"), F.lit(99).alias("hi"), F.length("text").alias("n"))
     open_ = strings.select("g", F.lit(1.0).alias("most")).distinct()
-    for df in (matching._in_blocks(strings, open_, known, len(bank), 21), matching._substrings(strings, 2).join(matching._pieces(known, 2), "piece")):
+    for df in (matching._in_blocks(strings, open_, known, Counter(len(p) for _, p in bank)), matching._substrings(strings, 2).join(matching._pieces(known, 2), "piece")):
         df.explain()
         plan = capsys.readouterr().out
         assert "HashJoin" in plan or "SortMergeJoin" in plan
