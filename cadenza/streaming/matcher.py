@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +37,38 @@ def match(text: str, commands: list[str], threshold: float) -> tuple[str | None,
     return (best[1] if best[0] <= threshold else None), best[0]
 
 
-def may_match(text: str, command: str, threshold: float) -> bool:
-    """Of k + 1 pieces of a command one is whole in any text within k edits."""
-    edits = int(threshold * (len(command) + 1))
-    cut = [len(command) * i // (edits + 1) for i in range(edits + 2)]
-    return any(command[a:b] in text for a, b in zip(cut, cut[1:], strict=False))
+#: Distances of windows are kept, as the same few characters come up in many pieces.
+_distance = lru_cache(1 << 16)(edit_distance)
+
+
+def find_command(text: str, commands: list[str], threshold: float) -> tuple[str | None, float]:
+    """What ``match`` finds up to the threshold, else (None, 1.0).
+
+    Within k edits one of k + 1 pieces of a command is whole in a window, no farther than k from its place: only windows
+    around a piece are held against the command."""
+    body, best = text.translate(_STRIP), (1.0, None)
+    for command in commands:
+        m = len(command)
+        edits = int(threshold * (m + 1) + 1e-9)
+        cut = [m * i // (edits + 1) for i in range(edits + 2)]
+        last = max(0, len(body) - max(1, m - 1))
+        starts: set[int] = set()
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a == b:  # more edits than characters: any window may do
+                starts.update(range(last + 1) if body else ())
+                break
+            at = body.find(command[a:b])
+            while at >= 0:
+                starts.update(range(max(0, at - a - edits), min(last, at - a + edits) + 1))
+                at = body.find(command[a:b], at + 1)
+        for i in starts:
+            for n in (m - 1, m, m + 1):
+                if n >= 1 and i <= max(0, len(body) - n):
+                    part = body[i : i + n]
+                    score = _distance(part, command) / max(len(part), m)
+                    if score < best[0]:
+                        best = (score, command)
+    return (best[1], best[0]) if best[0] <= threshold else (None, 1.0)
 
 
 def match_stream(pieces: DataFrame, commands: list[str], *, threshold: float = 0.35, window: int = 64) -> DataFrame:
@@ -57,9 +85,7 @@ def match_stream(pieces: DataFrame, commands: list[str], *, threshold: float = 0
         rows = []
         for seq, text in sorted((r for p in parts for r in zip(p["seq"], p["text"], strict=True)), key=lambda r: r[0]):
             sentence += text or ""
-            recent = sentence[-keep - len(text or "") :]
-            body = recent.translate(_STRIP)
-            command, score = match(recent, [c for c in commands if may_match(body, c, threshold)], threshold)
+            command, score = find_command(sentence[-keep - len(text or "") :], commands, threshold)
             if command is not None:
                 rows.append((key[0], seq, command, score))
                 sentence = ""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .matcher import _STRIP, match, may_match
+from .matcher import find_command
 
 OUT = "session string, kind string, first_seq long, last_seq long, command string, score double, sentence string"
 _NAMES = [f.split()[0] for f in OUT.split(", ")]
@@ -45,8 +45,7 @@ class Sentences(StatefulProcessor):
             last = int(seq)
             held.append((last, text or ""))
             recent = "".join(t for _, t in held)[-self.keep - len(text or "") :]
-            body = recent.translate(_STRIP)
-            command, score = match(recent, [c for c in self.commands if may_match(body, c, self.threshold)], self.threshold)
+            command, score = find_command(recent, self.commands, self.threshold)
             if command is not None:
                 out.append((key[0], "command", held[0][0], last, command, score, "".join(t for _, t in held)))
                 held = []

@@ -89,6 +89,23 @@ def told(spark, out):
     return sorted((r.session, r.first_seq, r.last_seq, r.command, round(r.score, 9), r.sentence) for r in spark.read.schema(sentences.OUT).parquet(str(out)).filter("kind = 'command'").collect())
 
 
+def test_commands_are_found_around_their_pieces(monkeypatch):
+    """As by all windows, at any threshold, while few windows of a long text are held against a command."""
+    rng, alphabet = np.random.default_rng(5), np.array(list("abc ,"))
+    for n in (0, 1, 2, 5, 9, 40):
+        for threshold in (0.0, 0.15, 0.29, 0.35, 0.5, 0.9):
+            for _ in range(12):
+                text = "".join(rng.choice(alphabet, n))
+                commands = ["".join(rng.choice(alphabet[:3], k)) for k in rng.integers(1, 8, 3)]
+                want = matcher.match(text, commands, threshold)
+                assert matcher.find_command(text, commands, threshold) == (want if want[0] else (None, 1.0)), (text, commands, threshold)
+    seen = []
+    monkeypatch.setattr(matcher, "_distance", lambda a, b: seen.append(a) or matcher.edit_distance(a, b))
+    text = "x" * 5000 + "licenced under" + "y" * 5000
+    assert matcher.find_command(text, ["licensed under".replace(" ", "")], 0.15) == ("licensedunder", 1 / 13)
+    assert len(seen) < 50
+
+
 TIMED = KIND + ", ts timestamp"
 
 
